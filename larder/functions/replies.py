@@ -1,6 +1,7 @@
 """Expressions over model replies: the SQL in them, what is wrong with it, and rate-limit errors.
 
-The checks work on text, not on a syntax tree. Literals and comments are blanked first.
+The checks work on text, not on a syntax tree. Those that take ``code`` expect the text made by
+``code_only``, kept in a column of its own so that it is made once per statement.
 """
 
 from __future__ import annotations
@@ -25,17 +26,18 @@ WRITE_VERBS = [
 CHANGE_VERBS = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER"]
 
 STARTS_WRITING = r"(?i)^\s*(" + "|".join(WRITE_VERBS) + r")\b"
-CHANGES = r"(?i)(?:^|;|\))\s*(" + "|".join(CHANGE_VERBS) + r")\b"
+CHANGES = r"(?:^|;|\))\s*(" + "|".join(CHANGE_VERBS).lower() + r")\b"
 
 LITERAL_OR_COMMENT = r"(')(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
 
-TABLE_REF = r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_]\w*)"
-TABLE_ALIAS = r"(?i)\b(?:FROM|JOIN)\s+[A-Za-z_]\w*\s+(?:AS\s+)?([A-Za-z_]\w*)"
-NAMED_QUERY = r"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)([A-Za-z_]\w*)\s+AS\s*\("
-GIVEN_NAME = r"(?i)\bAS\s+([A-Za-z_]\w*)"
-CALL_NAME = r"[A-Za-z_]\w*\s*\("
-QUALIFIER = r"[A-Za-z_]\w*\."
-WORD = r"\b([A-Za-z_]\w*)\b"
+# Possessive, so that a word that does not fit is left at once.
+TABLE_REF = r"\b(?:from|join)\s++([a-z_]\w*+)"
+TABLE_ALIAS = r"\b(?:from|join)\s++[a-z_]\w*+\s++(?:as\s++)?([a-z_]\w*+)"
+NAMED_QUERY = r"(?:\bwith\s++(?:recursive\s++)?|,\s*+)([a-z_]\w*+)\s++as\s*+\("
+GIVEN_NAME = r"\b(?:from|join|as)\s++([a-z_]\w*+)"
+CALL_NAME = r"\b[a-z_]\w*+\s*+\("
+QUALIFIER = r"\b[a-z_]\w*+\."
+WORD = r"\b([a-z_]\w*+)"
 
 # Words of the language that are no column names.
 LANGUAGE_WORDS = [
@@ -55,89 +57,80 @@ def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def _statement(reply: Column) -> Column:
+def candidate_statement(reply: Column | str) -> Column:
     """Fenced block, or else the text from the first SELECT/WITH on; NULL when there is neither."""
+    reply = as_column(reply)
     fenced = F.nullif(_trimmed(F.regexp_extract(reply, FENCED, 1)), F.lit(""))
     bare = F.nullif(_trimmed(F.regexp_extract(reply, FROM_KEYWORD, 1)), F.lit(""))
-    found = F.coalesce(fenced, bare)
-    return _trimmed(F.rtrim(found, F.lit(";")))
+    return _trimmed(F.rtrim(F.coalesce(fenced, bare), F.lit(";")))
 
 
-def reject_reason(reply: Column | str) -> Column:
-    """Why no statement can be taken from a reply; NULL when one can."""
-    reply = as_column(reply)
-    sql = _statement(reply)
+def reject_reason(reply: Column | str, candidate: Column | str) -> Column:
+    """Why the candidate statement of a reply cannot be used; NULL when it can."""
+    reply, candidate = as_column(reply), as_column(candidate)
     return (
         F.when(reply.isNull() | (_trimmed(reply) == ""), "empty")
-        .when(sql.isNull(), "no_statement")
-        .when(~sql.rlike(READS), "not_a_read")
-        .when(sql.rlike(STARTS_WRITING), "write")
+        .when(candidate.isNull(), "no_statement")
+        .when(~candidate.rlike(READS), "not_a_read")
+        .when(candidate.rlike(STARTS_WRITING), "write")
     )
 
 
-def extract_sql(reply: Column | str) -> Column:
-    """The statement in a reply, NULL when it is rejected."""
-    reply = as_column(reply)
-    return F.when(reject_reason(reply).isNull(), _statement(reply))
-
-
 def code_only(sql: Column | str) -> Column:
-    """Statement with literals emptied and comments removed."""
-    return F.regexp_replace(as_column(sql), LITERAL_OR_COMMENT, "$1 $1")
+    """Statement in lower case, literals emptied and comments removed."""
+    return F.lower(F.regexp_replace(as_column(sql), LITERAL_OR_COMMENT, "$1 $1"))
 
 
-def change_verb(sql: Column | str) -> Column:
-    """First data-changing verb anywhere in the statement, lower case; NULL when there is none."""
-    return F.nullif(F.lower(F.regexp_extract(code_only(sql), CHANGES, 1)), F.lit(""))
+def change_verb(code: Column | str) -> Column:
+    """First data-changing verb anywhere in the statement; NULL when there is none."""
+    return F.nullif(F.regexp_extract(as_column(code), CHANGES, 1), F.lit(""))
 
 
-def several_statements(sql: Column | str) -> Column:
-    body = F.rtrim(code_only(sql), F.lit(";" + BLANKS))
-    return body.contains(";")
+def several_statements(code: Column | str) -> Column:
+    return F.rtrim(as_column(code), F.lit(";" + BLANKS)).contains(";")
 
 
-def joins_without_condition(sql: Column | str) -> Column:
+def joins_without_condition(code: Column | str) -> Column:
     """How many JOINs have neither ON nor USING."""
-    code = code_only(sql)
-    joins = F.regexp_count(code, F.lit(r"(?i)\bJOIN\b"))
-    conditions = F.regexp_count(code, F.lit(r"(?i)\b(?:ON|USING)\b"))
+    code = as_column(code)
+    joins = F.regexp_count(code, F.lit(r"\bjoin\b"))
+    conditions = F.regexp_count(code, F.lit(r"\b(?:on|using)\b"))
     return F.greatest(joins - conditions, F.lit(0))
 
 
-def looks_parseable(sql: Column | str) -> Column:
-    """Cheap stand-in for a parser: reads, balanced brackets, no empty select list or source."""
-    code = code_only(sql)
-    opened = F.regexp_count(code, F.lit(r"\("))
-    closed = F.regexp_count(code, F.lit(r"\)"))
-    gap = code.rlike(r"(?i)\bSELECT\s+FROM\b|\bFROM\s+(?:WHERE|GROUP|ORDER|LIMIT)\b|\b(?:WHERE|AND|OR|BY|ON|FROM|SELECT)\s*;?\s*$")
+def looks_parseable(code: Column | str) -> Column:
+    """Cheap stand-in for a parser: a known verb, balanced brackets, no empty select list or source."""
+    code = as_column(code)
+    opened = F.length(code) - F.length(F.replace(code, F.lit("("), F.lit("")))
+    closed = F.length(code) - F.length(F.replace(code, F.lit(")"), F.lit("")))
+    gap = code.rlike(
+        r"\bselect\s+from\b|\bfrom\s+(?:where|group|order|limit)\b"
+        r"|\b(?:where|and|or|by|on|from|select)\s*;?\s*$"
+    )
     return _trimmed(code).rlike(READS + r"|" + CHANGES) & (opened == closed) & ~gap
 
 
-def table_names(sql: Column | str) -> Column:
-    """Distinct tables named after FROM and JOIN, lower case, less the statement's own WITH names."""
-    code = F.lower(code_only(sql))
+def table_names(code: Column | str) -> Column:
+    """Distinct tables named after FROM and JOIN, less the statement's own WITH names."""
+    code = as_column(code)
     used = F.regexp_extract_all(code, F.lit(TABLE_REF), F.lit(1))
-    own = F.regexp_extract_all(code, F.lit(NAMED_QUERY), F.lit(1))
-    return F.array_except(used, own)
+    return F.array_except(used, F.regexp_extract_all(code, F.lit(NAMED_QUERY), F.lit(1)))
 
 
-def column_names(sql: Column | str) -> Column:
-    """Distinct column names a statement expects from its tables, lower case.
+def column_names(code: Column | str) -> Column:
+    """Distinct column names a statement expects from its tables.
 
     Call names and qualifiers are cut off, then language words and every name the statement itself
     gives (tables, their aliases, WITH names, AS names) are taken away.
     """
-    code = F.lower(code_only(sql))
-    local = F.concat(
-        F.regexp_extract_all(code, F.lit(TABLE_REF), F.lit(1)),
-        F.regexp_extract_all(code, F.lit(TABLE_ALIAS), F.lit(1)),
-        F.regexp_extract_all(code, F.lit(NAMED_QUERY), F.lit(1)),
-        F.regexp_extract_all(code, F.lit(GIVEN_NAME), F.lit(1)),
-    )
+    code = as_column(code)
+    given = [
+        F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+        for pattern in (GIVEN_NAME, TABLE_ALIAS, NAMED_QUERY)
+    ]
     bare = F.regexp_replace(F.regexp_replace(code, CALL_NAME, "("), QUALIFIER, " ")
     words = F.regexp_extract_all(bare, F.lit(WORD), F.lit(1))
-    language = F.array(*[F.lit(w) for w in LANGUAGE_WORDS])
-    return F.array_except(F.array_except(words, language), local)
+    return F.array_except(F.filter(words, lambda w: ~w.isin(*LANGUAGE_WORDS)), F.concat(*given))
 
 
 def rate_limited(error: Column | str) -> Column:

@@ -14,8 +14,8 @@ from larder.functions.numbers import as_column
 
 BLANKS = " \t\n\r\f\x0b"
 
-# Python's idea of white space, for a regular expression class.
-SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\u2028\u2029]"
+# What counts as white space in a question, besides the space itself.
+OTHER_BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 
 # Marks dropped at the end of a question.
 QUESTION_ENDING = "?!. "
@@ -65,23 +65,23 @@ def _without_marks(text: str) -> str:
 def _latin_fold() -> tuple[str, str, str]:
     """For Latin letters and common punctuation: the one-to-one folds (as two aligned strings, with
     plain deletions last) and a pattern for text that holds anything beyond them."""
-    wide = []
     folded, base, dropped = [], [], []
-    ranges = [(0x80, 0x24F), (0x300, 0x33F), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x20A0, 0x20AF)]
+    known = [(0x00, 0x7F)]
+    ranges = [(0x80, 0x24F), (0x300, 0x33F), (0x1E00, 0x1EFF), (0x2010, 0x2029), (0x20A0, 0x20AF)]
     for first, last in ranges:
         for point in range(first, last + 1):
             letter = chr(point)
             bare = _without_marks(letter)
             if len(bare) > 1:
-                wide.append(letter)
-            elif not bare:
+                continue
+            if not bare:
                 dropped.append(letter)
             elif bare != letter:
                 folded.append(letter)
                 base.append(bare)
-    known = r"\x00-\x7f" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in ranges)
-    odd = "".join(f"\\u{ord(w):04X}" for w in wide)
-    return "".join(folded) + "".join(dropped), "".join(base), f"[^{known}]|[{odd}]"
+            known = [*known[:-1], (known[-1][0], point)] if known[-1][1] == point - 1 else [*known, (point, point)]
+    spans = "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in known)
+    return "".join(folded) + "".join(dropped), "".join(base), f"[^{spans}]"
 
 
 def _fold_any(c: Column) -> Column:
@@ -110,13 +110,12 @@ def normalize_question(c: Column | str) -> Column:
     """
     c = as_column(c)
     folded, base, beyond = _latin_fold()
-    odd = c.rlike(beyond)
-    latin = F.when(is_ascii(c), F.lower(c)).otherwise(F.lower(F.translate(c, folded, base)))
-    text = F.when(odd, _fold_any(F.when(odd, c))).otherwise(latin)
-    text = F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    text = F.rtrim(text, F.lit(QUESTION_ENDING))
-    text = F.regexp_replace(text, f"{SPACE_CLASS}+", " ")
-    return F.trim(text)
+    odd = ~is_ascii(c) & c.rlike(beyond)
+    latin = F.lower(F.when(is_ascii(c), c).otherwise(F.translate(c, folded, base)))
+    text = F.coalesce(_fold_any(F.when(odd, c)), latin)
+    text = F.rtrim(F.btrim(text, F.lit(" " + OTHER_BLANKS)), F.lit(QUESTION_ENDING))
+    spaced = F.translate(text, OTHER_BLANKS, " " * len(OTHER_BLANKS))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def cell_text(c: Column | str) -> Column:

@@ -125,24 +125,35 @@ def compare_exact(gold: DataFrame, cand: DataFrame, position: str | None = None)
     return row_differences(gold, cand, pairs, position).first()["differing"] == 0
 
 
-def _fingerprints(df: DataFrame, position: str | None) -> tuple[int, dict[str, tuple]]:
-    """Row count, and per column a digest of the multiset of its values, in one pass."""
-    aggregates = [F.count("*").alias("_rows")]
-    fields = _columns(df, position)
-    for i, f in enumerate(fields):
+# Digests are summed modulo this, so that sums stay exact in a long up to 8.7e12 rows.
+DIGEST_MODULUS = 1048573
+
+
+def _fingerprint_row(df: DataFrame, position: str | None) -> DataFrame:
+    """One row: row count, and per column a digest of the multiset of its values."""
+    digests = []
+    for f in _columns(df, position):
         kind = "number" if _is_numeric(f) else _kind(f)
         cell = _normal_cell(f.name, kind)
-        digest = F.when(cell.isNotNull(), F.xxhash64(cell))
-        aggregates += [
-            F.count(cell).alias(f"n{i}"),
-            F.sum(digest.cast("decimal(38,0)")).alias(f"s{i}"),
-            F.bit_xor(digest).alias(f"x{i}"),
-        ]
-    row = df.agg(*aggregates).first()
-    return row["_rows"], {
-        f.name: (_is_numeric(f) or _kind(f), row[f"n{i}"], row[f"s{i}"], row[f"x{i}"])
-        for i, f in enumerate(fields)
-    }
+        hashed = F.when(cell.isNotNull(), F.xxhash64(cell))
+        digest = F.struct(
+            F.lit(f.name).alias("name"),
+            F.lit(kind).alias("kind"),
+            F.count(cell).alias("n"),
+            F.sum(F.pmod(hashed, F.lit(DIGEST_MODULUS))).alias("s"),
+            F.bit_xor(hashed).alias("x"),
+        )
+        digests.append(digest)
+    return df.agg(F.count("*").alias("n_rows"), F.array(*digests).alias("digests"))
+
+
+def _fingerprints(gold: DataFrame, cand: DataFrame, position: str | None):
+    """(rows, {column: digest}) of both tables, one pass over each."""
+    both = _fingerprint_row(gold, position).withColumn("side", F.lit(0)).unionByName(
+        _fingerprint_row(cand, position).withColumn("side", F.lit(1))
+    )
+    rows = sorted(both.collect(), key=lambda r: r["side"])
+    return [(r["n_rows"], {d["name"]: (d["kind"], d["n"], d["s"], d["x"]) for d in r["digests"]}) for r in rows]
 
 
 def _pairings(gold: dict[str, tuple], cand: dict[str, tuple], same_name_first: bool):
@@ -171,8 +182,7 @@ def compare_subset(
 
     Columns with equal values are told apart by name first and by order second.
     """
-    n_gold, gold_prints = _fingerprints(gold, position)
-    n_cand, cand_prints = _fingerprints(cand, position)
+    (n_gold, gold_prints), (n_cand, cand_prints) = _fingerprints(gold, cand, position)
     if n_gold == 0 and n_cand == 0:
         return Verdict(True, "both empty")
     if n_cand == 0:

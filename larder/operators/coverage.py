@@ -16,14 +16,14 @@ def null_aware_anti(df: DataFrame, key: str, listed: DataFrame, listed_key: str)
     """``key NOT IN (listed)`` with its NULL rules: a NULL in the list empties the result, and a NULL
     key is kept only when the list is empty.
 
-    The list is made distinct first, so one value listed very often is one row in the join.
+    The list is made distinct before the join, so one value listed very often is one row in it.
     """
-    values = listed.select(F.col(listed_key).alias("_listed")).distinct()
-    has_null = F.coalesce(values.agg(F.bool_or(F.col("_listed").isNull())).scalar(), F.lit(False))
-    is_empty = values.agg(F.count("*") == 0).scalar()
-    known = values.filter(F.col("_listed").isNotNull())
+    values = listed.select(F.col(listed_key).alias("_listed"))
+    has_null = F.coalesce(F.bool_or(F.col("_listed").isNull()), F.lit(False))
+    state = values.agg(F.struct(has_null.alias("has_null"), (F.count("*") == 0).alias("is_empty"))).scalar()
+    known = values.filter(F.col("_listed").isNotNull()).distinct()
     rest = df.join(known, F.col(key) == F.col("_listed"), "left_anti")
-    return rest.filter(~has_null & (F.col(key).isNotNull() | is_empty))
+    return rest.filter(~state.getField("has_null") & (F.col(key).isNotNull() | state.getField("is_empty")))
 
 
 def items_without(star: Star, measure: str) -> DataFrame:

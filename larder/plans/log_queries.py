@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.replies import (
     change_verb,
-    extract_sql,
     joins_without_condition,
     rate_limited,
-    reject_reason,
     retry_after_seconds,
     several_statements,
 )
@@ -40,7 +38,7 @@ from larder.operators.compare import (
 from larder.operators.compose import total_by_group
 from larder.operators.conversation import history_window, render_history, thread_preview
 from larder.operators.rank import rank_items, top_k
-from larder.operators.sqlaudit import axis_verdicts, unknown_columns, unknown_tables
+from larder.operators.sqlaudit import axis_verdicts, parse_replies, unknown_columns, unknown_tables, with_code
 from larder.operators.terms import resolve_terms, resolve_totals
 from larder.plans.registry import register
 from larder.plans.testdata import PARTS_SQL, SCALE, parts
@@ -634,12 +632,12 @@ judged AS (SELECT *, CASE WHEN t IS NULL OR t = '' THEN 'empty' WHEN stmt IS NUL
     f"WITH {_STATEMENTS_SQL} SELECT stmt_id, CASE WHEN reason IS NULL THEN stmt END AS sql FROM judged",
 )
 def q_extract_sql(spark, sf):
-    return _replies(spark, sf).select("stmt_id", extract_sql("reply").alias("sql"))
+    return parse_replies(_replies(spark, sf)).select("stmt_id", "sql")
 
 
 @register("reject_reason", f"WITH {_STATEMENTS_SQL} SELECT stmt_id, reason FROM judged")
 def q_reject_reason(spark, sf):
-    return _replies(spark, sf).select("stmt_id", reject_reason("reply").alias("reason"))
+    return parse_replies(_replies(spark, sf)).select("stmt_id", F.col("reject_reason").alias("reason"))
 
 
 # The audit looks at the statement where one was found, else at the reply itself.
@@ -648,7 +646,8 @@ code AS (SELECT *, regexp_replace(sql, '('')(?:[^'']|'''')*''|--[^\n]*', '\1 \1'
 
 
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).select("stmt_id", F.coalesce(extract_sql("reply"), "reply").alias("sql"))
+    parsed = parse_replies(_replies(spark, sf))
+    return parsed.select("stmt_id", F.coalesce("sql", "reply").alias("sql"))
 
 
 @register(
@@ -657,7 +656,7 @@ def _audited(spark: SparkSession, sf: str) -> DataFrame:
     nullif(lower(regexp_extract(code, '(?i)(?:^|;|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b', 1)), '') AS verb FROM code""",
 )
 def q_write_flag(spark, sf):
-    return _audited(spark, sf).select("stmt_id", change_verb("sql").alias("verb"))
+    return with_code(_audited(spark, sf)).select("stmt_id", change_verb("code").alias("verb"))
 
 
 @register(
@@ -665,7 +664,7 @@ def q_write_flag(spark, sf):
     rf"""WITH {_CODE_SQL} SELECT stmt_id, contains(regexp_replace(code, '[;\s]+$', ''), ';') AS several FROM code""",
 )
 def q_multi_stmt(spark, sf):
-    return _audited(spark, sf).select("stmt_id", several_statements("sql").alias("several"))
+    return with_code(_audited(spark, sf)).select("stmt_id", several_statements("code").alias("several"))
 
 
 @register(
@@ -674,11 +673,11 @@ def q_multi_stmt(spark, sf):
     - len(regexp_extract_all(code, '(?i)\b(?:ON|USING)\b')), 0) AS INTEGER) AS bare_joins FROM code""",
 )
 def q_join_without_on(spark, sf):
-    return _audited(spark, sf).select("stmt_id", joins_without_condition("sql").alias("bare_joins"))
+    return with_code(_audited(spark, sf)).select("stmt_id", joins_without_condition("code").alias("bare_joins"))
 
 
-def _catalog(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog_of(spark, {t: read_table(spark, sf, t) for t in TABLES})
+def _catalog(spark: SparkSession, sf: str) -> dict[str, list[str]]:
+    return catalog_of({t: read_table(spark, sf, t) for t in TABLES})
 
 
 _CATALOG_SQL = """cat AS (SELECT lower(table_name) AS table_name, lower(column_name) AS column_name
@@ -702,7 +701,7 @@ def _column_names_sql() -> str:
 
     words = ", ".join(f"'{w}'" for w in LANGUAGE_WORDS)
     return rf"""words AS (SELECT DISTINCT stmt_id, unnest(regexp_extract_all(
-    regexp_replace(regexp_replace(lower(code), '[a-z_]\w*\s*\(', '(', 'g'), '[a-z_]\w*\.', ' ', 'g'),
+    regexp_replace(regexp_replace(lower(code), '\b[a-z_]\w*\s*\(', '(', 'g'), '\b[a-z_]\w*\.', ' ', 'g'),
     '\b([a-z_]\w*)\b', 1)) AS column_name FROM code),
 given AS (SELECT * FROM tabs UNION SELECT * FROM ctes
     UNION SELECT stmt_id, unnest(regexp_extract_all(lower(code), '\b(?:from|join)\s+[a-z_]\w*\s+(?:as\s+)?([a-z_]\w*)', 1)) FROM code

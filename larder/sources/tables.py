@@ -49,16 +49,20 @@ def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def catalog_of(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table_name, column_name) of given tables."""
-    rows = [(t.lower(), c.lower()) for t, df in tables.items() for c in df.columns]
-    return literal_table(spark, ["table_name", "column_name"], rows)
+def catalog_of(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+    """{table: columns} of given tables, lower case."""
+    return {t.lower(): [c.lower() for c in df.columns] for t, df in tables.items()}
+
 
+def session_catalog(spark: SparkSession) -> dict[str, list[str]]:
+    """{table: columns} of all tables and views the session knows."""
+    return catalog_of({t.name: spark.table(t.name) for t in spark.catalog.listTables()})
 
-def session_catalog(spark: SparkSession) -> DataFrame:
-    """(table_name, column_name) of all tables and views the session knows."""
-    names = [t.name for t in spark.catalog.listTables()]
-    return catalog_of(spark, {n: spark.table(n) for n in names})
+
+def catalog_table(spark: SparkSession, catalog: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Catalog as rows (table_name, column_name)."""
+    rows = [(t, c) for t, columns in catalog.items() for c in columns]
+    return literal_table(spark, ["table_name", "column_name"], rows)
 
 
 def with_file_name(df: DataFrame) -> DataFrame:
