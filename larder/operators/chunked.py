@@ -65,12 +65,12 @@ def preceding_rows(
     item = F.struct(order, *columns)
     rows = df.withColumn("_chunk", _chunk(order, chunk_rows))
     inside = Window.partitionBy(*keys).orderBy(order)
-    near = rows.withColumn("_near", F.collect_list(item).over(inside.rowsBetween(-n, -1))).withColumn(
-        "_next", F.lead(order).over(inside)
-    )
-    tails = near.filter(F.col("_next").isNull()).select(
-        *keys, _last_of(F.concat("_near", F.array(item)), n).alias("_tail")
-    )
+    near = rows.withColumn("_near", F.collect_list(item).over(inside.rowsBetween(-n, -1)))
+
+    # The limit on the row number is applied before the shuffle: n rows per chunk and task move.
+    latest = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    ends = rows.withColumn("_back", F.row_number().over(latest)).filter(F.col("_back") <= n)
+    tails = ends.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_tail"))
     # A chunk in the table holds one row at least, so n chunks back hold the last n rows.
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(-n, -1)
     earlier = tails.select(
@@ -80,5 +80,5 @@ def preceding_rows(
     return (
         near.join(earlier.filter(F.size("_earlier") > 0), keys, "left")
         .withColumn(out, _last_of(both, n))
-        .drop("_chunk", "_near", "_next", "_earlier")
+        .drop("_chunk", "_near", "_earlier")
     )
