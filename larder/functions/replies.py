@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from larder.functions.numbers import as_column
 from larder.functions.text import BLANKS, mentions_any
 
+# How a statement stands in a reply, and a waiting time in an error text.
 FENCED = r"(?is)```(?:sql)?\s*\n?(.*?)```"
 FROM_KEYWORD = r"(?is)\b((?:SELECT|WITH)\b.*)$"
 READS = r"(?i)^(SELECT|WITH)\b"
+RETRY_AFTER = r"(?i)try again in (?:([\d.]+)h)?(?:([\d.]+)m)?(?:([\d.]+)s)?"
 
 # Verbs a reply may not start with.
 WRITE_VERBS = [
@@ -50,8 +52,6 @@ LANGUAGE_WORDS = [
     "varchar", "values", "filter", "qualify", "window", "escape",
 ]
 
-RETRY_AFTER = r"(?i)try again in (?:([\d.]+)h)?(?:([\d.]+)m)?(?:([\d.]+)s)?"
-
 
 def _trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))

@@ -160,3 +160,8 @@ def minute_label(c: Column | str) -> Column:
 def day_label(c: Column | str) -> Column:
     """Month and day of a run label: '07-22'."""
     return F.substring(as_column(c), 6, 5)
+
+
+def file_stamp(c: Column | str) -> Column:
+    """Time as it stands in a report's file name: 20260722_091704."""
+    return F.date_format(as_column(c), "yyyyMMdd_HHmmss")

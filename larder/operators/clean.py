@@ -80,11 +80,13 @@ def sheet_to_table(
     order: str = "row_idx",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """The whole clean-up of one sheet: groups carried forward, data rows kept, cells typed."""
+    """The whole clean-up of one sheet: groups carried forward, data rows kept, cells typed.
+
+    Groups are carried on key and label alone; the wide rows are not moved for it.
+    """
     measures = [n for n in names.values() if n not in (key, name)]
-    grouped = carry_forward_group(grid, order=order, out=group, chunk_rows=chunk_rows)
-    rows = filter_data_rows(grouped, "c0")
-    rows = select_positional(rows, names, keep=[order, group]).withColumn(key, to_key(key))
-    groups = group_by_key(rows, key, group, order)
-    table = clean_sentinels(rows.drop(group, order), measures)
-    return attach_group(table, groups, key).select(key, name, group, *measures)
+    labelled = carry_forward_group(grid.select(order, "c0", "c1"), order=order, out=group, chunk_rows=chunk_rows)
+    keyed = filter_data_rows(labelled, "c0").select(order, to_key("c0").alias(key), group)
+    rows = select_positional(filter_data_rows(grid, "c0"), names).withColumn(key, to_key(key))
+    table = clean_sentinels(rows, measures)
+    return attach_group(table, group_by_key(keyed, key, group, order), key).select(key, name, group, *measures)

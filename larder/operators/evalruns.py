@@ -155,13 +155,17 @@ def status_matrix(
     scored: DataFrame, questions: DataFrame, runs: Sequence[str], symbols: Mapping[str, str] = SYMBOLS
 ) -> DataFrame:
     """One row per question, one column per listed run, a symbol in each cell."""
-    symbol = F.lit(UNKNOWN_SYMBOL)
-    for status, sign in symbols.items():
-        symbol = F.when(F.col("status") == status, sign).otherwise(symbol)
-    cells = [F.max(F.when(F.col("run_at") == r, symbol)).alias(r) for r in runs]
+    # Cells are aggregated as small numbers and turned into symbols afterwards.
+    signs = [*symbols.values(), UNKNOWN_SYMBOL, ABSENT_SYMBOL]
+    code = F.lit(len(signs) - 1)
+    for i, status in enumerate(symbols):
+        code = F.when(F.col("status") == status, i + 1).otherwise(code)
+    cells = [F.max(F.when(F.col("run_at") == r, code)).alias(r) for r in runs]
     seen = scored.filter(F.col("run_at").isin(*runs)).groupBy("id").agg(*cells)
     rows = questions.select("id", "difficulty").join(seen, "id", "left")
-    return rows.select("id", "difficulty", *[F.coalesce(F.col(f"`{r}`"), F.lit(ABSENT_SYMBOL)).alias(r) for r in runs])
+    signs_of = F.array(*[F.lit(s) for s in signs])
+    marks = [F.element_at(signs_of, F.coalesce(F.col(f"`{r}`"), F.lit(len(signs)))).alias(r) for r in runs]
+    return rows.select("id", "difficulty", *marks)
 
 
 def plan_rerun(questions: DataFrame, last_run: DataFrame, fingerprint: Column, last_fingerprint: Column) -> DataFrame:

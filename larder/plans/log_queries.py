@@ -14,7 +14,7 @@ from larder.functions.replies import (
     retry_after_seconds,
     several_statements,
 )
-from larder.functions.text import day_label, minute_label, refuses
+from larder.functions.text import REFUSAL_WORDS, day_label, file_stamp, minute_label, refuses
 from larder.operators import evalruns
 from larder.operators.cache import (
     CACHE_SCHEMA,
@@ -244,11 +244,11 @@ details AS (SELECT run_at, user_id AS id, difficulty, event_type AS reason, k, v
     event_type IN ('view', 'purchase') AS passed, event_type = 'error' AS skipped,
     CASE WHEN event_type <> 'error' THEN 'SELECT ' || k END AS sql,
     CASE WHEN event_type <> 'error' THEN CASE WHEN value >= 2 THEN 'ok' ELSE 'nao_parseia' END END AS sintaxe,
-    CASE WHEN event_type <> 'error' THEN CASE WHEN value < 2 THEN 'n/a' WHEN k % 5 = 0 THEN 'alucinou' ELSE 'ok' END END AS "schema",
-    CASE WHEN event_type <> 'error' THEN CASE WHEN k % 7 = 0 THEN 'multi_statement' ELSE 'ok' END END AS seguranca,
+    CASE WHEN event_type <> 'error' THEN CASE WHEN value < 2 THEN 'n/a' WHEN k < 20 THEN 'alucinou' ELSE 'ok' END END AS "schema",
+    CASE WHEN event_type <> 'error' THEN CASE WHEN k > 85 THEN 'multi_statement' ELSE 'ok' END END AS seguranca,
     CASE WHEN event_type <> 'error' THEN 'ok' END AS eficiencia
     FROM last_event JOIN questions ON user_id = id),
-verdicts AS (SELECT run_at, id, status <> 'sql_error' AS executes, k % 10 <> 0 AS has_gold, value > 10 AS matches,
+verdicts AS (SELECT run_at, id, status <> 'sql_error' AS executes, k >= 10 AS has_gold, value > 10 AS matches,
     value > 30 AS refuses FROM details WHERE sql IS NOT NULL),
 scored AS (SELECT d.run_at, d.id, q.difficulty, CASE WHEN sql IS NULL THEN 'sem_orcamento'
     WHEN expects_refusal THEN CASE WHEN refuses THEN 'pass' ELSE 'fail' END
@@ -275,7 +275,7 @@ def _details(spark: SparkSession, sf: str) -> DataFrame:
         .when(kind == "click", "sql_error")
         .otherwise("skipped_rate_limit")
     )
-    schema = F.when(F.col("value") < 2, "n/a").when(F.col("k") % 5 == 0, "alucinou").otherwise("ok")
+    schema = F.when(F.col("value") < 2, "n/a").when(F.col("k") < 20, "alucinou").otherwise("ok")
     return last.join(_questions(spark, sf).select("id", "difficulty"), "id").select(
         "run_at", "id", "difficulty", "k", "value",
         kind.alias("reason"),
@@ -285,7 +285,7 @@ def _details(spark: SparkSession, sf: str) -> DataFrame:
         F.when(ran, F.concat(F.lit("SELECT "), F.col("k").cast("string"))).alias("sql"),
         F.when(ran, F.when(F.col("value") >= 2, "ok").otherwise("nao_parseia")).alias("sintaxe"),
         F.when(ran, schema).alias("schema"),
-        F.when(ran, F.when(F.col("k") % 7 == 0, "multi_statement").otherwise("ok")).alias("seguranca"),
+        F.when(ran, F.when(F.col("k") > 85, "multi_statement").otherwise("ok")).alias("seguranca"),
         F.when(ran, "ok").alias("eficiencia"),
     )
 
@@ -304,7 +304,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = details.filter(F.col("sql").isNotNull()).select(
         "run_at", "id",
         (F.col("status") != "sql_error").alias("executes"),
-        (F.col("k") % 10 != 0).alias("has_gold"),
+        (F.col("k") >= 10).alias("has_gold"),
         (F.col("value") > 10).alias("matches"),
         (F.col("value") > 30).alias("refuses"),
     )
@@ -397,7 +397,7 @@ def _spans(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = details.filter(ran).select(
         "run_at", "id",
         (F.col("event_type") != "click").alias("executes"),
-        (F.col("k") % 10 != 0).alias("has_gold"),
+        (F.col("k") >= 10).alias("has_gold"),
         (F.col("value") > 10).alias("matches"),
         (F.col("value") > 30).alias("refuses"),
     )
@@ -545,11 +545,13 @@ def q_classify_status(spark, sf):
 _WORDS = ["license", "idiot", "año", "étion", "über"]
 
 
+def _mentions_sql(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
 @register(
     "refusal_flag",
-    "SELECT doc_id, "
-    + "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in _WORDS) + ") AS listed, "
-    + "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ["insuficientes", "não apresenta quantidade significativa", "limitação", "não possui dados", "taco não", "dados insuficientes"]) + ") AS refuses FROM documents",
+    f"SELECT doc_id, {_mentions_sql(_WORDS)} AS listed, {_mentions_sql(REFUSAL_WORDS)} AS refuses FROM documents",
 )
 def q_refusal_flag(spark, sf):
     rows = read_table(spark, sf, "documents")
@@ -558,12 +560,16 @@ def q_refusal_flag(spark, sf):
 
 @register(
     "run_labels",
-    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%m-%d') AS day FROM events""",
+    """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS minute, strftime(ts, '%m-%d') AS day,
+    strftime(ts, '%Y%m%d_%H%M%S') AS stamp FROM events""",
 )
 def q_run_labels(spark, sf):
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
     return read_table(spark, sf, "events").select(
-        "event_id", minute_label(iso).alias("minute"), day_label(iso).alias("day")
+        "event_id",
+        minute_label(iso).alias("minute"),
+        day_label(iso).alias("day"),
+        file_stamp(F.col("ts")).alias("stamp"),
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.text import fingerprint
 from larder.operators.evalruns import AXES, accuracy, run_coverage
 
 QUESTIONS = (
@@ -67,3 +70,12 @@ def write_reports(details: DataFrame, folder: str) -> None:
     """Report as two JSON datasets: a line per run, and a line per run and question by run."""
     run_heads(details).write.mode("overwrite").json(f"{folder}/runs")
     details.write.mode("overwrite").partitionBy("run_at").json(f"{folder}/details")
+
+
+def files_fingerprint(spark: SparkSession, paths: Sequence[str], digits: int = 16) -> str:
+    """One fingerprint over the bytes of a few files in the given order: changes when any of them does."""
+    content = F.lit(b"")
+    for path in paths:
+        file = spark.read.format("binaryFile").load(path).select("content").limit(1)
+        content = F.concat(content, file.scalar())
+    return spark.range(1).select(fingerprint(content, digits)).first()[0]

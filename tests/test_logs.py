@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import json
 import random
 
@@ -9,7 +10,7 @@ from larder.functions.numbers import ratio
 from larder.operators import cache, evalruns
 from larder.operators.conversation import history_window, render_history, thread_preview
 from larder.operators.sqlaudit import axis_verdicts, unknown_columns, unknown_tables
-from larder.sources.reports import read_questions, read_reports, report_details, write_reports
+from larder.sources.reports import files_fingerprint, read_questions, read_reports, report_details, write_reports
 
 OK = {a: "ok" for a in evalruns.AXES}
 OLD_RUN = {
@@ -123,6 +124,14 @@ def test_question_set(spark, tmp_path):
     assert got == [("2.0", "Q1", True), ("2.0", "Q2", None)]
 
 
+def test_fingerprint_of_files(spark, tmp_path):
+    for name, text in (("a", "one"), ("b", "zwei\n")):
+        (tmp_path / name).write_text(text)
+    paths = [str(tmp_path / n) for n in "ab"]
+    assert files_fingerprint(spark, paths) == hashlib.sha256(b"onezwei\n").hexdigest()[:16]
+    assert files_fingerprint(spark, paths[::-1]) == hashlib.sha256(b"zwei\none").hexdigest()[:16]
+
+
 def test_errors(spark):
     df = spark.createDataFrame([("429 slow down",), ("boom",), (None,)], "e string")
     got = [r[0] for r in df.select(evalruns.classify_error(F.col("e"))).collect()]
