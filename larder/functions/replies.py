@@ -6,6 +6,9 @@ The checks work on text, not on a syntax tree. Those that take ``code`` expect t
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ WRITE_VERBS = [
 CHANGE_VERBS = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER"]
 
 STARTS_WRITING = r"(?i)^\s*(" + "|".join(WRITE_VERBS) + r")\b"
-CHANGES = r"(?:^|;|\))\s*(" + "|".join(CHANGE_VERBS).lower() + r")\b"
+CHANGES = r"(?:^|;|\))\s*+(" + "|".join(CHANGE_VERBS).lower() + r")\b"
 
 LITERAL_OR_COMMENT = r"(')(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
 
@@ -81,9 +84,24 @@ def code_only(sql: Column | str) -> Column:
     return F.lower(F.regexp_replace(as_column(sql), LITERAL_OR_COMMENT, "$1 $1"))
 
 
+def _nothing() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _any_of(code: Column, words: list[str]) -> Column:
+    """Plain substring test. It spares most statements the pattern that follows."""
+    return reduce(or_, [code.contains(w) for w in words])
+
+
+def _all_matches(code: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
+
+
 def change_verb(code: Column | str) -> Column:
     """First data-changing verb anywhere in the statement; NULL when there is none."""
-    return F.nullif(F.regexp_extract(as_column(code), CHANGES, 1), F.lit(""))
+    code = as_column(code)
+    maybe = _any_of(code, [v.lower() for v in CHANGE_VERBS])
+    return F.nullif(F.when(maybe, F.regexp_extract(code, CHANGES, 1)), F.lit(""))
 
 
 def several_statements(code: Column | str) -> Column:
@@ -95,26 +113,36 @@ def joins_without_condition(code: Column | str) -> Column:
     code = as_column(code)
     joins = F.regexp_count(code, F.lit(r"\bjoin\b"))
     conditions = F.regexp_count(code, F.lit(r"\b(?:on|using)\b"))
-    return F.greatest(joins - conditions, F.lit(0))
+    bare = F.greatest(joins - conditions, F.lit(0))
+    return F.when(code.isNotNull(), F.when(code.contains("join"), bare).otherwise(0))
 
 
-def looks_parseable(code: Column | str) -> Column:
-    """Cheap stand-in for a parser: a known verb, balanced brackets, no empty select list or source."""
-    code = as_column(code)
+def looks_parseable(code: Column | str, verb: Column | str) -> Column:
+    """Cheap stand-in for a parser: a known verb, balanced brackets, no empty select list or source.
+
+    ``verb`` is the statement's ``change_verb``.
+    """
+    code, verb = as_column(code), as_column(verb)
     opened = F.length(code) - F.length(F.replace(code, F.lit("("), F.lit("")))
     closed = F.length(code) - F.length(F.replace(code, F.lit(")"), F.lit("")))
     gap = code.rlike(
-        r"\bselect\s+from\b|\bfrom\s+(?:where|group|order|limit)\b"
-        r"|\b(?:where|and|or|by|on|from|select)\s*;?\s*$"
+        r"\bselect\s++from\b|\bfrom\s++(?:where|group|order|limit)\b"
+        r"|\b(?:where|and|or|by|on|from|select)\s*+;?\s*+$"
     )
-    return _trimmed(code).rlike(READS + r"|" + CHANGES) & (opened == closed) & ~gap
+    return (verb.isNotNull() | _trimmed(code).rlike(READS)) & (opened == closed) & ~gap
+
+
+def _named_queries(code: Column) -> Column:
+    return F.when(code.contains("with"), _all_matches(code, NAMED_QUERY)).otherwise(_nothing())
 
 
 def table_names(code: Column | str) -> Column:
     """Distinct tables named after FROM and JOIN, less the statement's own WITH names."""
     code = as_column(code)
-    used = F.regexp_extract_all(code, F.lit(TABLE_REF), F.lit(1))
-    return F.array_except(used, F.regexp_extract_all(code, F.lit(NAMED_QUERY), F.lit(1)))
+    used = _all_matches(code, TABLE_REF)
+    return F.when(code.contains("with"), F.array_except(used, _all_matches(code, NAMED_QUERY))).otherwise(
+        F.array_distinct(used)
+    )
 
 
 def column_names(code: Column | str) -> Column:
@@ -124,13 +152,11 @@ def column_names(code: Column | str) -> Column:
     gives (tables, their aliases, WITH names, AS names) are taken away.
     """
     code = as_column(code)
-    given = [
-        F.regexp_extract_all(code, F.lit(pattern), F.lit(1))
-        for pattern in (GIVEN_NAME, TABLE_ALIAS, NAMED_QUERY)
-    ]
-    bare = F.regexp_replace(F.regexp_replace(code, CALL_NAME, "("), QUALIFIER, " ")
-    words = F.regexp_extract_all(bare, F.lit(WORD), F.lit(1))
-    return F.array_except(F.filter(words, lambda w: ~w.isin(*LANGUAGE_WORDS)), F.concat(*given))
+    bare = F.when(code.contains("("), F.regexp_replace(code, CALL_NAME, "(")).otherwise(code)
+    bare = F.when(code.contains("."), F.regexp_replace(bare, QUALIFIER, " ")).otherwise(bare)
+    words = F.filter(_all_matches(bare, WORD), lambda w: ~w.isin(*LANGUAGE_WORDS))
+    given = F.concat(_all_matches(code, GIVEN_NAME), _all_matches(code, TABLE_ALIAS), _named_queries(code))
+    return F.array_except(words, given)
 
 
 def rate_limited(error: Column | str) -> Column:

@@ -80,9 +80,9 @@ def unknown_columns(statements: DataFrame, catalog: Catalog) -> DataFrame:
 
 def axis_verdicts(statements: DataFrame, catalog: Catalog) -> DataFrame:
     """Verdict per axis and statement: 'ok' or what is wrong; 'n/a' where the text does not parse."""
-    audited = with_unknown_names(with_code(statements), catalog).withColumns(
-        {"_verb": change_verb("code"), "_bare": joins_without_condition("code"), "_parses": looks_parseable("code")}
-    )
+    judged = with_code(statements).withColumn("_verb", change_verb("code"))
+    judged = judged.withColumns({"_bare": joins_without_condition("code"), "_parses": looks_parseable("code", "_verb")})
+    audited = with_unknown_names(judged, catalog)
     n_bad = F.size("unknown_tables") + F.size("unknown_columns")
     safety = (
         F.when(F.col("_verb").isNotNull(), F.concat(F.lit("escrita: "), "_verb"))

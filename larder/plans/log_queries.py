@@ -259,15 +259,16 @@ scored AS (SELECT d.run_at, d.id, q.difficulty, CASE WHEN sql IS NULL THEN 'sem_
 """
 
 
+def _last_events(spark: SparkSession, sf: str, run) -> DataFrame:
+    """Last event of each user in each run."""
+    last = F.max_by(F.struct("event_type", "value", "props"), F.struct("ts", "event_id"))
+    rows = read_table(spark, sf, "events").groupBy(run.alias("run"), F.col("user_id").alias("id")).agg(last.alias("e"))
+    k = F.get_json_object("e.props", "$.k").cast("int").alias("k")
+    return rows.select(F.col("run").cast("string").alias("run_at"), "id", "e.event_type", "e.value", k)
+
+
 def _details(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    when = F.struct("ts", "event_id")
-    last = (
-        read_table(spark, sf, "events")
-        .groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_at"), F.col("user_id").alias("id"))
-        .agg(F.max_by(F.struct("event_type", "value", k.alias("k")), when).alias("e"))
-        .select("run_at", "id", "e.*")
-    )
+    last = _last_events(spark, sf, F.to_date("ts"))
     kind, ran = F.col("event_type"), F.col("event_type") != "error"
     status = (
         F.when(kind.isin("view", "purchase"), "pass")
@@ -383,15 +384,9 @@ _SPANS_SQL = _RUNS_SQL.replace(
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with a day that stands for its span of ten days."""
-    span = F.floor((F.least(F.dayofmonth("ts"), F.lit(30)) - 1) / 10).cast("string")
-    k = F.get_json_object("props", "$.k").cast("int")
-    last = (
-        read_table(spark, sf, "events")
-        .groupBy(span.alias("run_at"), F.col("user_id").alias("id"))
-        .agg(F.max_by(F.struct("event_type", "value", k.alias("k")), F.struct("ts", "event_id")).alias("e"))
-        .select("run_at", "id", "e.*")
-    )
+    """Re-scored states with a span of ten days as the run."""
+    span = F.floor((F.least(F.dayofmonth("ts"), F.lit(30)) - 1) / 10)
+    last = _last_events(spark, sf, span)
     ran = F.col("event_type") != "error"
     details = last.withColumn("sql", F.when(ran, F.concat(F.lit("SELECT "), F.col("k").cast("string"))))
     verdicts = details.filter(ran).select(
