@@ -19,13 +19,15 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_number(c: Column | str) -> Column:
-    """Double, or NULL for anything that is not a plain number.
+def is_number(c: Column | str) -> Column:
+    """Whether the text is a plain number. A cast alone also takes '1d', 'NaN' and 'Infinity'."""
+    return as_column(c).rlike(NUMBER_TEXT)
+
 
-    The pattern guards the cast: on its own it also takes '1d', 'NaN' and 'Infinity'.
-    """
+def to_number(c: Column | str) -> Column:
+    """Double, or NULL for anything that is not a plain number."""
     c = as_column(c)
-    return F.when(c.rlike(NUMBER_TEXT), F.trim(c).try_cast("double"))
+    return F.when(is_number(c), F.trim(c).try_cast("double"))
 
 
 def sentinel_number(c: Column | str, marks: Mapping[str, float | None] = SENTINELS) -> Column:

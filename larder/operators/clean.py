@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.numbers import SENTINELS, sentinel_number, to_key, to_number
+from larder.functions.numbers import SENTINELS, is_number, sentinel_number, to_key
 from larder.operators.chunked import CHUNK_ROWS, forward_fill
 
 # First cells of header rows; an empty first cell counts as a header too.
@@ -21,7 +21,7 @@ def select_positional(df: DataFrame, names: Mapping[int, str], keep: Sequence[st
 
 def filter_data_rows(df: DataFrame, key: str) -> DataFrame:
     """Rows whose key cell is a number."""
-    return df.filter(to_number(key).isNotNull())
+    return df.filter(is_number(key))
 
 
 def clean_sentinels(
@@ -33,10 +33,9 @@ def clean_sentinels(
 
 def separator_label(key: str, name: str, headers: Sequence[str] = HEADER_CELLS) -> Column:
     """Label held by a group-separator row: text key that is no header, and no name."""
+    # The name is looked at first: it tells data rows apart without matching their text.
     label = F.trim(F.col(key))
-    is_separator = (
-        label.isNotNull() & to_number(key).isNull() & ~label.isin(*headers) & F.col(name).isNull()
-    )
+    is_separator = F.col(name).isNull() & ~is_number(key) & ~label.isin(*headers)
     return F.when(is_separator, label)
 
 

@@ -19,7 +19,7 @@ from larder.operators.coverage import (
     items_without,
     unused_measures,
 )
-from larder.operators.quality import not_null, null_profile, relationships, row_counts, unique
+from larder.operators.quality import not_null, null_profile, relationships, row_counts, sample_head, unique
 from larder.operators.rank import (
     compare_groups,
     lookup,
@@ -31,7 +31,7 @@ from larder.operators.rank import (
 )
 from larder.operators.reshape import pivot_measures, to_long
 from larder.operators.similar import similar_to, similar_to_anchors
-from larder.operators.star import star_rows
+from larder.operators.star import register_views, star_rows
 from larder.plans.registry import register
 from larder.plans.testdata import (
     DOCS_SQL,
@@ -194,6 +194,11 @@ def q_profile_nulls(spark, sf):
     return null_profile(events, ["event_id", "value", "event_type"])
 
 
+@register("sample_head", "SELECT * FROM events ORDER BY event_id LIMIT 5")
+def q_sample_head(spark, sf):
+    return sample_head(read_table(spark, sf, "events"), "event_id")
+
+
 @register(
     "value_state",
     """WITH s AS (SELECT l_orderkey, nullif(l_discount, 0) AS discount, l_tax FROM lineitem)
@@ -352,6 +357,26 @@ def q_star_join(spark, sf):
     return rows.select("item_id", "item_name", "group_name", "measure_name", "value", "unit")
 
 
+_BEST_SQL = """WITH ranked AS (
+      SELECT i.item_name, i.item_id, g.group_name, f.value, m.unit,
+             RANK() OVER (PARTITION BY g.group_name ORDER BY f.value DESC) AS place
+      FROM {0}fact f JOIN {0}item i ON f.item_id = i.item_id
+      JOIN {0}grp g ON i.group_id = g.group_id JOIN {0}measure m ON f.{1} = m.{1}
+      WHERE m.measure_name = 'qty_total' AND f.value IS NOT NULL)
+    SELECT item_name, item_id, group_name, value, unit FROM ranked WHERE place = 1"""
+
+
+@register(
+    "sql_over_views",
+    f"WITH {PARTS_SQL}" + _BEST_SQL.format("", "measure_name").replace("WITH ranked", ", ranked"),
+)
+def q_sql_over_views(spark, sf):
+    """The star as views, questioned in plain SQL."""
+    names = {"fact": "star_fact", "item": "star_item", "group": "star_grp", "measure": "star_measure"}
+    register_views(parts(spark, sf), {table: (view, {}) for table, view in names.items()})
+    return spark.sql(_BEST_SQL.format("star_", "measure_id"))
+
+
 # ---------------------------------------------------------------- lookup and ranking
 
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 _ROW_MASK = (1 << 33) - 1
 
 
-def read_grid(spark: SparkSession, path: str, n_columns: int) -> DataFrame:
+def read_grid(spark: SparkSession, path: str, n_columns: int, multi_line: bool = False) -> DataFrame:
     """CSV export of one sheet as (row_idx, c0 .. cn), empty cells NULL, nothing trimmed.
 
     row_idx is the byte at which the row's split starts plus the row's number in the task. A row takes
     at least one byte, so numbers of one split stay below the start of the next: the order of the file.
+    ``multi_line`` allows line breaks inside cells, at the price of reading the file in one task.
     """
     cells = [f"c{i}" for i in range(n_columns)]
-    rows = spark.read.csv(path, header=False, schema=", ".join(f"{c} string" for c in cells))
+    rows = spark.read.csv(path, header=False, multiLine=multi_line, schema=", ".join(f"{c} string" for c in cells))
     start = F.col("_metadata.file_block_start")
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_MASK))
     return rows.select((start + inside).alias("row_idx"), *cells)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from larder.operators.star import literal_table
@@ -63,8 +62,3 @@ def catalog_table(spark: SparkSession, catalog: Mapping[str, Sequence[str]]) ->
     """Catalog as rows (table_name, column_name)."""
     rows = [(t, c) for t, columns in catalog.items() for c in columns]
     return literal_table(spark, ["table_name", "column_name"], rows)
-
-
-def with_file_name(df: DataFrame) -> DataFrame:
-    """Rows tagged with the file they came from."""
-    return df.select("*", F.col("_metadata.file_name").alias("file_name"))
