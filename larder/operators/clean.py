@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.numbers import SENTINELS, is_number, sentinel_number, to_key
+from larder.functions.text import BLANKS
 from larder.operators.chunked import CHUNK_ROWS, forward_fill
 
 # First cells of header rows; an empty first cell counts as a header too.
@@ -34,7 +35,7 @@ def clean_sentinels(
 def separator_label(key: str, name: str, headers: Sequence[str] = HEADER_CELLS) -> Column:
     """Label held by a group-separator row: text key that is no header, and no name."""
     # The name is looked at first: it tells data rows apart without matching their text.
-    label = F.trim(F.col(key))
+    label = F.btrim(F.col(key), F.lit(BLANKS))
     is_separator = F.col(name).isNull() & ~is_number(key) & ~label.isin(*headers)
     return F.when(is_separator, label)
 

@@ -22,6 +22,9 @@ def test_query(spark, name):
     columns, _, expected = duck_rows(SF, spark_entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(columns)
     assert multiset(df.columns, rows) == multiset(columns, expected)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "NestedLoopJoin" not in plan
 
 
 def test_entry(spark):
