@@ -1,4 +1,4 @@
 """Importing this module registers the queries of all operators."""
 
-from larder.llm import q_fingerprints, q_secrets, q_simhash, q_warc  # noqa: F401
+from larder.llm import q_fingerprints, q_packing, q_secrets, q_simhash, q_warc  # noqa: F401
 from larder.llm.registry import ORACLE, QUERIES  # noqa: F401
