@@ -31,7 +31,7 @@ HASHED, DIMS, BITS = 256, 4, 12
 #: Words a worker remembers with their ids; characters and words it hands to the tokenizer at once.
 REMEMBERED, BATCH_CHARS, BATCH_WORDS = 1 << 20, 1 << 22, 4096
 # White space as Unicode has it; str.split() also splits at four control characters.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -50,7 +50,7 @@ class WordTokenizer:
 
     def _splits(self) -> bool:
         a, b = "été It's 3km", "№２ don't!"
-        whole = [self.tokenizer.encode(a + s + b, add_special_tokens=False).ids for s in (" ", "\n\t", "　")]
+        whole = [self.tokenizer.encode(a + s + b, add_special_tokens=False).ids for s in (" ", "\n\t", "\u3000")]
         parts = [i for w in (*a.split(" "), *b.split(" ")) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
         return all(ids == parts for ids in whole)
 
