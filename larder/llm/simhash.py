@@ -13,8 +13,8 @@ fingerprint one link to the smallest of its local group, never all pairs, and th
 contracted to components. A shard that is too dense to be halved looks up the neighbours of a fingerprint
 by flipping bits, which is linear, and large shards are dealt out in blocks.
 
-Null texts count as empty. Repeated rows share a group. Rows without doc_id keep their place; they get the
-smallest doc_id of their group, null if it has none. Other columns are ignored.
+Null texts count as empty. Repeated rows share a group. Rows without doc_id get the smallest doc_id of their
+group, null if it has none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.components import _kept, components
@@ -59,14 +59,15 @@ def simhash(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of (doc_id, text); fp is a long."""
+    """(doc_id, text_hash, fp) of (doc_id, text); fp is a long, text_hash tells rows with equal doc_id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash(text.as_py(), width) for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+            prints = [simhash(text.as_py(), width) for text in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _distance(some: np.ndarray, one: np.uint64) -> np.ndarray:
@@ -216,12 +217,30 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id reached over links of at most `radius` bits."""
+    """(doc_id, text_hash, fp, root, component_id): the group of each row over links of at most `radius` bits.
+
+    `root` is the smallest fingerprint of the group, component_id its smallest doc_id.
+    """
     prints = _kept(fingerprints(docs, width), "simhash")
     distinct = _kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct, radius))
     linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least")).select(F.col("root").alias("_root"), "least")
-    groups = linked.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "least")
-    classes = distinct.join(groups, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "first_id").alias("component_id"))
-    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    groups = linked.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "least")
+    classes = distinct.join(groups, F.col("fp") == F.col("_fp"), "left").select(
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first_id").alias("component_id")
+    )
+    return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each group the one with the smallest doc_id stays.
+
+    Where rows share that id, the one with the smallest hash of its text stays, and one of equal rows.
+    """
+    groups = near_duplicates(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_hash"))
+    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row")))
+    stay = rows.join(kept.select("k._id", "k._hash").distinct(), ["_id", "_hash"], "left_semi").withColumn("_copy", copy).where("_copy = 1")
+    return stay.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
