@@ -17,8 +17,8 @@ better one; stored distances spare the computation of those that cannot matter.
 exact; bounds have a margin for rounding. Groups return their k best, which are ranked once more.
 
 Vectors that are null or hold null or non-finite components take no part. A shorter vector counts as filled
-up with zeros. Ties go to the smaller id; of rows with the same id each is a candidate of its own, and
-equal ones are one query. Rows without an id are candidates, ordered after all others, and are no queries.
+up with zeros. Ties go to the smaller id; of rows with the same id each is a candidate of its own
+and, if it differs, a query of its own. Rows without an id are candidates, ordered after all others, and are no queries.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _better(best: list[tuple[int, int]], k: int, score: int, key: int) -> None:
 
 
 def search_group(group: Group, to_routing: np.ndarray, queries: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, routed: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best of each query in a group, best first over its pages.
+    """(place of the query, id, score) of the k best of each query in a group, best first over its pages.
 
     `to_routing` holds each entry's distance to the routing object, `routed` each query's; `bounds` is the
     distance beyond which a query needs nothing.
@@ -127,7 +127,7 @@ def search_group(group: Group, to_routing: np.ndarray, queries: np.ndarray, q_id
                     _better(best, k, score, int(group.ids[j]))
             if len(best) == k:
                 limit = min(limit, float(_apart(squares[i], group.m_square, np.float64(best[0][0]))) + margin)
-        found += [(int(q_ids[i]), -key, score) for score, key in best]
+        found += [(i, -key, score) for score, key in best]
     return found
 
 
@@ -194,7 +194,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, routing: int = ROUT
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 some = batch.slice(at, BLOCK)
-                ids, x = some.column("id").to_numpy(), _matrix(some.column("v"), dims)
+                ids, hashes, x = some.column("id").to_numpy(), some.column("hash").to_numpy(), _matrix(some.column("v"), dims)
                 products = _products(x, centres)
                 squares = (x**2).sum(axis=1)
                 distance = _apart(squares[:, None], m_square, products)
@@ -206,24 +206,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, routing: int = ROUT
                     d = distance[:, r]
                     meets = np.nonzero((d - b <= slack) & (a - d <= slack))[0]
                     if len(meets):
-                        packed = [ids[meets].astype("<i8"), x[meets], bounds[meets], d[meets]]
-                        yield pa.record_batch([pa.array([r], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in packed]], names=["to", "q_ids", "qs", "bounds", "routed"])
+                        packed = [ids[meets].astype("<i8"), hashes[meets].astype("<i8"), x[meets], bounds[meets], d[meets]]
+                        yield pa.record_batch([pa.array([r], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in packed]], names=["to", "q_ids", "q_hashes", "qs", "bounds", "routed"])
 
-    questions = rows.where("asks").select("id", "v").distinct().mapInArrow(ask, "to int, q_ids binary, qs binary, bounds binary, routed binary")
-    meetings = groups.join(questions, F.col("routing") == F.col("to")).select("ids", "distances", "xs", "q_ids", "qs", "bounds", "routed")
+    questions = rows.where("asks").select("id", "v", F.xxhash64("v").alias("hash")).distinct().mapInArrow(ask, "to int, q_ids binary, q_hashes binary, qs binary, bounds binary, routed binary")
+    meetings = groups.join(questions, F.col("routing") == F.col("to")).select("ids", "distances", "xs", "q_ids", "q_hashes", "qs", "bounds", "routed")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, group = None, None
         for batch in batches:
-            for ids, distances, xs, q_ids, qs, bounds, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ids, distances, xs, q_ids, q_hashes, qs, bounds, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if last != (ids, xs):
                     last, group = (ids, xs), Group(np.frombuffer(ids, "<i8"), _read(xs, dims), m_square)
                 numbers = [np.frombuffer(v, "<f8") for v in (distances, bounds, to)]
-                found = search_group(group, numbers[0], _read(qs, dims), np.frombuffer(q_ids, "<i8"), numbers[1], numbers[2], k)
-                columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"])
+                asked, hashed = (np.frombuffer(v, "<i8") for v in (q_ids, q_hashes))
+                found = search_group(group, numbers[0], _read(qs, dims), asked, numbers[1], numbers[2], k)
+                at, near, scores = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
+                yield pa.record_batch([pa.array(c) for c in (asked[at], hashed[at], near, scores)], names=["query_id", "hash", "id", "score"])
 
-    found = meetings.mapInArrow(search, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc()))
+    found = meetings.mapInArrow(search, "query_id long, hash long, id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "hash").orderBy(F.col("score").desc(), F.col("id").asc()))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), F.when(F.col("id") != none, F.col("id")).alias("id"), "score")
