@@ -45,9 +45,9 @@ def to_key(c: Column | str) -> Column:
 
 
 def value_state(c: Column | str) -> Column:
-    """missing (NULL), zero or present."""
+    """missing (NULL or not a number), zero or present."""
     c = as_column(c)
-    return F.when(c.isNull(), MISSING).when(c == 0, ZERO).otherwise(PRESENT)
+    return F.when(c.isNull() | F.isnan(c.cast("double")), MISSING).when(c == 0, ZERO).otherwise(PRESENT)
 
 
 def round_even(c: Column | str, digits: int = 2) -> Column:
@@ -63,11 +63,11 @@ def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
 
 def exact_sum(c: Column | str, scale: int | None = None) -> Column:
     """NULL-skipping sum. With ``scale`` the values are summed as decimals of that many places, so
-    the result does not depend on the order in which tasks deliver their parts."""
+    the result does not depend on the order in which tasks deliver their parts; sums have 38 digits."""
     c = as_column(c)
     if scale is None:
         return F.sum(c)
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(c.cast(f"decimal(28,{scale})")).cast("double")
 
 
 def exact_mean(c: Column | str, scale: int | None = None) -> Column:

@@ -31,17 +31,20 @@ WRITE_VERBS = [
 CHANGE_VERBS = ["INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER"]
 
 STARTS_WRITING = r"(?i)^\s*(" + "|".join(WRITE_VERBS) + r")\b"
-CHANGES = r"(?:^|;|\))\s*+(" + "|".join(CHANGE_VERBS).lower() + r")\b"
+CHANGES = r"(?:^|;|\(|\))\s*+(" + "|".join(CHANGE_VERBS).lower() + r")\b"
 
-LITERAL_OR_COMMENT = r"(')(?:[^']|'')*'|--[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/"
+# Loops over single characters, which need no stack however long the text; a doubled quote is two literals.
+LITERAL_OR_COMMENT = r"(')[^']*+'|--[^\n]*+|/\*(?s:.*?)\*/"
+QUOTED_NAME = r"\"([a-z_]\w*+)\""
 
 # Possessive, so that a word that does not fit is left at once.
-TABLE_REF = r"\b(?:from|join)\s++([a-z_]\w*+)"
-TABLE_ALIAS = r"\b(?:from|join)\s++[a-z_]\w*+\s++(?:as\s++)?([a-z_]\w*+)"
+SCHEMA = r"(?:[a-z_]\w*+\s*+\.\s*+)*+"
+TABLE_REF = r"\b(?:from|join)\s++" + SCHEMA + r"([a-z_]\w*+)"
+TABLE_ALIAS = r"\b(?:from|join)\s++" + SCHEMA + r"[a-z_]\w*+\s++(?:as\s++)?([a-z_]\w*+)"
 NAMED_QUERY = r"(?:\bwith\s++(?:recursive\s++)?|,\s*+)([a-z_]\w*+)\s++as\s*+\("
-GIVEN_NAME = r"\b(?:from|join|as)\s++([a-z_]\w*+)"
+GIVEN_NAME = r"\b(?:from|join|as)\s++" + SCHEMA + r"([a-z_]\w*+)"
 CALL_NAME = r"\b[a-z_]\w*+\s*+\("
-QUALIFIER = r"\b[a-z_]\w*+\."
+QUALIFIER = r"\b[a-z_]\w*+\s*+\."
 WORD = r"\b([a-z_]\w*+)"
 
 # Words of the language that are no column names.
@@ -52,7 +55,8 @@ LANGUAGE_WORDS = [
     "asc", "desc", "nulls", "first", "last", "union", "all", "except", "intersect", "with",
     "recursive", "over", "partition", "rows", "range", "preceding", "following", "current", "row",
     "unbounded", "true", "false", "date", "timestamp", "interval", "cast", "double", "integer",
-    "varchar", "values", "filter", "qualify", "window", "escape",
+    "varchar", "values", "filter", "qualify", "window", "escape", "insert", "update", "delete", "drop",
+    "create", "alter", "table", "into", "set", "returning",
 ]
 
 
@@ -80,8 +84,9 @@ def reject_reason(reply: Column | str, candidate: Column | str) -> Column:
 
 
 def code_only(sql: Column | str) -> Column:
-    """Statement in lower case, literals emptied and comments removed."""
-    return F.lower(F.regexp_replace(as_column(sql), LITERAL_OR_COMMENT, "$1 $1"))
+    """Statement in lower case, literals emptied, comments removed and plain names without quotes."""
+    code = F.lower(F.regexp_replace(as_column(sql), LITERAL_OR_COMMENT, "$1 $1"))
+    return F.when(code.contains('"'), F.regexp_replace(code, QUOTED_NAME, "$1")).otherwise(code)
 
 
 def _nothing() -> Column:

@@ -98,6 +98,11 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     )
 
 
-def cache_eligible(turns: DataFrame, history: str = "history", error: str = "error") -> DataFrame:
-    """Only questions that stand alone and met no error may read or write the cache."""
-    return turns.filter((F.size(history) == 0) & F.col(error).isNull())
+def cache_eligible(turns: DataFrame, by: str = "conv_id", order: str = "turn", error: str = "error") -> DataFrame:
+    """Only questions that stand alone and met no error may read or write the cache.
+
+    The first turn of each thread stands alone; it is found by partial minima, without any history.
+    """
+    first = turns.groupBy(F.col(by).alias("_thread")).agg(F.min(order).alias("_first"))
+    alone = turns.join(first, (F.col(by) == F.col("_thread")) & (F.col(order) == F.col("_first")), "left_semi")
+    return alone.filter(F.col(error).isNull())

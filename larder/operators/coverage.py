@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.numbers import ratio
-from larder.operators.star import Star, star_rows
+from larder.functions.numbers import MISSING, PRESENT, ZERO, ratio, value_state
+from larder.operators.star import Star
 
 MIN_RANKING_ROWS = 3
 SUFFICIENT, INSUFFICIENT = "sufficient", "insufficient"
@@ -28,7 +28,8 @@ def null_aware_anti(df: DataFrame, key: str, listed: DataFrame, listed_key: str)
 
 def items_without(star: Star, measure: str) -> DataFrame:
     """Items with no measured amount above zero of the measure."""
-    having = star_rows(star, [measure]).filter(F.col("value") > 0)
+    wanted = star.measure.filter(F.col("measure_name") == measure).select("measure_id")
+    having = star.fact.filter(F.col("value") > 0).join(wanted, "measure_id", "left_semi")
     items = star.item.select("item_id", "item_name")
     return null_aware_anti(items, "item_id", having, "item_id")
 
@@ -45,15 +46,13 @@ def guard(result: DataFrame, min_rows: int = MIN_RANKING_ROWS) -> DataFrame:
 
 
 def coverage_profile(star: Star) -> DataFrame:
-    """Per catalog measure how many items are present, zero, missing (NULL) or have no row at all.
+    """Per catalog measure how many items are present, zero, missing or have no row at all.
 
     A measure without data shows zeros instead of vanishing.
     """
-    value = F.col("value")
-    stats = star.fact.groupBy("measure_id").agg(
-        F.count_if(value > 0).alias("present"),
-        F.count_if(value == 0).alias("zero"),
-        F.count_if(value.isNull()).alias("missing"),
+    states = star.fact.withColumn("_state", value_state("value"))
+    stats = states.groupBy("measure_id").agg(
+        *[F.count_if(F.col("_state") == s).alias(s) for s in (PRESENT, ZERO, MISSING)],
         F.count_distinct("item_id").alias("_items"),
     )
     n_items = star.item.agg(F.count_distinct("item_id")).scalar()

@@ -151,6 +151,18 @@ def latest_violations(details: DataFrame, axes: Sequence[str] = AXES) -> DataFra
     return long.filter(F.col("violation") != OK)
 
 
+def _symbol(status: Column, symbols: Mapping[str, str]) -> Column:
+    sign = F.lit(UNKNOWN_SYMBOL)
+    for state, symbol in symbols.items():
+        sign = F.when(status == state, symbol).otherwise(sign)
+    return sign
+
+
+def status_cells(scored: DataFrame, symbols: Mapping[str, str] = SYMBOLS) -> DataFrame:
+    """The matrix as rows (id, run_at, symbol), for any number of runs; cells without a row are absent."""
+    return scored.select("id", "run_at", _symbol(F.col("status"), symbols).alias("symbol"))
+
+
 def status_matrix(
     scored: DataFrame, questions: DataFrame, runs: Sequence[str], symbols: Mapping[str, str] = SYMBOLS
 ) -> DataFrame:

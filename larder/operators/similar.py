@@ -43,7 +43,7 @@ def similar_to(
 
 
 def similar_to_anchors(
-    wide: DataFrame, anchors: DataFrame, measures: Sequence[str], tolerance: float = 1.0, n: int = 10
+    wide: DataFrame, anchors: DataFrame, measures: Sequence[str], tolerance: float, n: int
 ) -> DataFrame:
     """The same for many anchors (anchor_id + measures): per anchor the first ``n`` similar items.
 

@@ -79,7 +79,9 @@ def unknown_columns(statements: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def axis_verdicts(statements: DataFrame, catalog: Catalog) -> DataFrame:
-    """Verdict per axis and statement: 'ok' or what is wrong; 'n/a' where the text does not parse."""
+    """Verdict per axis and statement: 'ok' or what is wrong; 'n/a' where the text does not parse.
+
+    ``unknown_names`` lists the tables and columns behind 'alucinou', sorted."""
     judged = with_code(statements).withColumn("_verb", change_verb("code"))
     judged = judged.withColumns({"_bare": joins_without_condition("code"), "_parses": looks_parseable("code", "_verb")})
     audited = with_unknown_names(judged, catalog)
@@ -92,6 +94,7 @@ def axis_verdicts(statements: DataFrame, catalog: Catalog) -> DataFrame:
     schema = F.when(n_bad > 0, "alucinou").otherwise("ok")
     bare = F.concat(F.col("_bare").cast("string"), F.lit(" JOIN sem ON"))
     efficiency = F.when(F.col("_bare") > 0, bare).otherwise("ok")
+    names = F.array_join(F.array_sort(F.array_union("unknown_tables", "unknown_columns")), ", ")
 
     def axis(verdict: Column, name: str) -> Column:
         return F.when(F.col("_parses"), verdict).otherwise("n/a").alias(name)
@@ -102,4 +105,5 @@ def axis_verdicts(statements: DataFrame, catalog: Catalog) -> DataFrame:
         axis(schema, "schema"),
         axis(safety, "seguranca"),
         axis(efficiency, "eficiencia"),
+        F.when(F.col("_parses") & (n_bad > 0), names).alias("unknown_names"),
     )

@@ -46,12 +46,13 @@ def literal_table(spark: SparkSession, columns: Sequence[str], rows: Iterable[Se
 
 
 def dense_key(df: DataFrame, by: Sequence[str], out: str) -> DataFrame:
-    """1, 2, 3, ... in the order of ``by``, without one task seeing all rows.
+    """1, 2, 3, ... in the order of ``by``, NULLs last, without one task seeing all rows.
 
     Rows are range-partitioned and sorted, numbered inside their partition, and written to shared
     storage so that the partitions stay what they are. Only the partition sizes are summed up.
     """
-    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    order = [F.col(c).asc_nulls_last() for c in by]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut_lineage(ranged.withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_at"), _ROW_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))

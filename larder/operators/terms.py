@@ -17,8 +17,14 @@ Synonyms = Sequence[tuple[str, Sequence[str], bool]]
 
 
 def synonym_table(spark: SparkSession, synonyms: Synonyms) -> DataFrame:
-    rows = literal_table(spark, ["term", "targets", "is_proxy"], synonyms)
-    return rows.withColumn("term", strip_accents_lower("term"))
+    """One row per term without case and accents; spellings of a term must mean the same."""
+    rows: dict[str, tuple[str, tuple[str, ...], bool]] = {}
+    for term, targets, is_proxy in synonyms:
+        row = (_bare(term), tuple(targets), is_proxy)
+        known = rows.setdefault(row[0], row)
+        if (set(known[1]), known[2]) != (set(row[1]), row[2]):
+            raise ValueError(f"'{term}' stands for {known[1:]} and for {row[1:]}")
+    return literal_table(spark, ["term", "targets", "is_proxy"], rows.values())
 
 
 def _bare(term: str) -> str:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -377,15 +375,16 @@ def q_run_summary(spark, sf):
 _COMMON_SQL = """common AS (SELECT id FROM scored WHERE status IN ('pass','fail','sql_error') GROUP BY id
     HAVING COUNT(DISTINCT run_at) >= (SELECT COUNT(DISTINCT run_at) FROM scored))"""
 
-# A user seldom shows up on each of thirty days, so for the common base a run is a span of ten days.
+# A user seldom shows up on each day, so for the common base a run is a span of ten days from the first on.
 _SPANS_SQL = _RUNS_SQL.replace(
-    "strftime(ts, '%Y-%m-%d')", "CAST((least(dayofmonth(ts), 30) - 1) // 10 AS VARCHAR)"
+    "strftime(ts, '%Y-%m-%d')", "CAST(date_diff('day', (SELECT MIN(ts) FROM events)::DATE, ts::DATE) // 10 AS VARCHAR)"
 )
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
     """Re-scored states with a span of ten days as the run."""
-    span = F.floor((F.least(F.dayofmonth("ts"), F.lit(30)) - 1) / 10)
+    first = read_table(spark, sf, "events").agg(F.to_date(F.min("ts"))).scalar()
+    span = F.floor(F.datediff(F.to_date("ts"), first) / 10)
     last = _last_events(spark, sf, span)
     ran = F.col("event_type") != "error"
     details = last.withColumn("sql", F.when(ran, F.concat(F.lit("SELECT "), F.col("k").cast("string"))))
@@ -436,18 +435,15 @@ def q_latest_violations(spark, sf):
     return evalruns.latest_violations(_details(spark, sf))
 
 
-RUN_DAYS = [str(datetime.date(2024, 1, 1) + datetime.timedelta(days=i)) for i in range(30)]
 _SYMBOL_SQL = "CASE status " + " ".join(f"WHEN '{s}' THEN '{x}'" for s, x in evalruns.SYMBOLS.items()) + " ELSE '?' END"
 
 
 @register(
     "status_matrix",
-    f"WITH {_RUNS_SQL} SELECT q.id, q.difficulty, "
-    + ", ".join(f"""coalesce(MAX(CASE WHEN run_at = '{d}' THEN {_SYMBOL_SQL} END), '·') AS "{d}\"""" for d in RUN_DAYS)
-    + " FROM questions q LEFT JOIN scored s ON q.id = s.id GROUP BY q.id, q.difficulty",
+    f"WITH {_RUNS_SQL} SELECT id, run_at, {_SYMBOL_SQL} AS symbol FROM scored",
 )
 def q_status_matrix(spark, sf):
-    return evalruns.status_matrix(_scored(spark, sf), _questions(spark, sf), RUN_DAYS)
+    return evalruns.status_cells(_scored(spark, sf))
 
 
 @register(
@@ -575,7 +571,11 @@ _REPLY_PARTS = {
         "JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey = ",
         " GROUP BY c.c_name ORDER BY total DESC;\n```\nDone; create it.",
     ),
-    ("2-HIGH", None): ("  SELECT o_vitamin, o.o_colour FROM orders o WHERE o.o_orderkey = ", ";  "),
+    ("2-HIGH", "F"): ("  SELECT o_vitamin, o.o_colour FROM orders o WHERE o.o_orderkey = ", ";  "),
+    ("2-HIGH", "O"): (
+        "SELECT \"c_name\" FROM main.orders JOIN shop . main.\"customer\" AS c ON o_custkey = c.c_custkey WHERE o_orderkey = ", ""
+    ),
+    ("2-HIGH", "P"): ("```sql\nWITH gone AS (DELETE FROM orders WHERE o_orderkey = ", " RETURNING *) SELECT * FROM gone\n```"),
     ("3-MEDIUM", "F"): (
         "Try this: WITH big AS (SELECT o_custkey, MAX(o_totalprice) AS top FROM orders WHERE o_orderkey > ",
         " GROUP BY o_custkey) SELECT top, n_name FROM big CROSS JOIN nation",
@@ -643,7 +643,8 @@ def q_reject_reason(spark, sf):
 
 # The audit looks at the statement where one was found, else at the reply itself.
 _CODE_SQL = rf"""{_STATEMENTS_SQL}, audited AS (SELECT stmt_id, coalesce(CASE WHEN reason IS NULL THEN stmt END, reply) AS sql FROM judged),
-code AS (SELECT *, regexp_replace(sql, '('')(?:[^'']|'''')*''|--[^\n]*', '\1 \1', 'g') AS code FROM audited)"""
+code AS (SELECT stmt_id, sql, regexp_replace(regexp_replace(sql, '('')(?:[^''])*''|--[^\n]*|/\*(?s:.*?)\*/', '\1 \1', 'g'),
+  '"([A-Za-z_]\w*)"', '\1', 'g') AS code FROM audited)"""
 
 
 def _audited(spark: SparkSession, sf: str) -> DataFrame:
@@ -654,7 +655,7 @@ def _audited(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "write_flag",
     rf"""WITH {_CODE_SQL} SELECT stmt_id,
-    nullif(lower(regexp_extract(code, '(?i)(?:^|;|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b', 1)), '') AS verb FROM code""",
+    nullif(lower(regexp_extract(code, '(?i)(?:^|;|\(|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b', 1)), '') AS verb FROM code""",
 )
 def q_write_flag(spark, sf):
     return with_code(_audited(spark, sf)).select("stmt_id", change_verb("code").alias("verb"))
@@ -684,7 +685,7 @@ def _catalog(spark: SparkSession, sf: str) -> dict[str, list[str]]:
 _CATALOG_SQL = """cat AS (SELECT lower(table_name) AS table_name, lower(column_name) AS column_name
     FROM information_schema.columns)"""
 _NAMES_SQL = rf"""{_CODE_SQL},
-tabs AS (SELECT DISTINCT stmt_id, unnest(regexp_extract_all(lower(code), '\b(?:from|join)\s+([a-z_]\w*)', 1)) AS table_name FROM code),
+tabs AS (SELECT DISTINCT stmt_id, unnest(regexp_extract_all(lower(code), '\b(?:from|join)\s+(?:[a-z_]\w*\s*\.\s*)*([a-z_]\w*)', 1)) AS table_name FROM code),
 ctes AS (SELECT DISTINCT stmt_id, unnest(regexp_extract_all(lower(code), '(?:\bwith\s+(?:recursive\s+)?|,\s*)([a-z_]\w*)\s+as\s*\(', 1)) AS table_name FROM code),
 used AS (SELECT * FROM tabs EXCEPT SELECT * FROM ctes),
 bad_tables AS (SELECT * FROM used WHERE table_name NOT IN (SELECT table_name FROM cat))"""
@@ -702,10 +703,10 @@ def _column_names_sql() -> str:
 
     words = ", ".join(f"'{w}'" for w in LANGUAGE_WORDS)
     return rf"""words AS (SELECT DISTINCT stmt_id, unnest(regexp_extract_all(
-    regexp_replace(regexp_replace(lower(code), '\b[a-z_]\w*\s*\(', '(', 'g'), '\b[a-z_]\w*\.', ' ', 'g'),
+    regexp_replace(regexp_replace(lower(code), '\b[a-z_]\w*\s*\(', '(', 'g'), '\b[a-z_]\w*\s*\.', ' ', 'g'),
     '\b([a-z_]\w*)\b', 1)) AS column_name FROM code),
 given AS (SELECT * FROM tabs UNION SELECT * FROM ctes
-    UNION SELECT stmt_id, unnest(regexp_extract_all(lower(code), '\b(?:from|join)\s+[a-z_]\w*\s+(?:as\s+)?([a-z_]\w*)', 1)) FROM code
+    UNION SELECT stmt_id, unnest(regexp_extract_all(lower(code), '\b(?:from|join)\s+(?:[a-z_]\w*\s*\.\s*)*[a-z_]\w*\s+(?:as\s+)?([a-z_]\w*)', 1)) FROM code
     UNION SELECT stmt_id, unnest(regexp_extract_all(lower(code), '\bas\s+([a-z_]\w*)', 1)) FROM code),
 expected AS (SELECT * FROM words WHERE column_name NOT IN ({words}) EXCEPT SELECT * FROM given),
 bad_columns AS (SELECT * FROM expected EXCEPT
@@ -720,14 +721,14 @@ def q_unknown_columns(spark, sf):
     return unknown_columns(_audited(spark, sf), _catalog(spark, sf))
 
 
-@register(
-    "axis_verdicts",
-    rf"""WITH {_CATALOG_SQL}, {_NAMES_SQL}, {_column_names_sql()},
+_VERDICTS_SQL = rf"""{_column_names_sql()},
+    bad_names AS (SELECT stmt_id, string_agg(name, ', ' ORDER BY name) AS unknown_names
+      FROM (SELECT stmt_id, table_name AS name FROM bad_tables UNION SELECT stmt_id, column_name FROM bad_columns) GROUP BY stmt_id),
     checked AS (SELECT stmt_id, code,
-      nullif(lower(regexp_extract(code, '(?i)(?:^|;|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b', 1)), '') AS verb,
+      nullif(lower(regexp_extract(code, '(?i)(?:^|;|\(|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b', 1)), '') AS verb,
       contains(regexp_replace(code, '[;\s]+$', ''), ';') AS several,
       greatest(len(regexp_extract_all(code, '(?i)\bJOIN\b')) - len(regexp_extract_all(code, '(?i)\b(?:ON|USING)\b')), 0) AS bare,
-      regexp_matches({_TRIM.format("code")}, '(?i)^(SELECT|WITH)\b|(?:^|;|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b')
+      regexp_matches({_TRIM.format("code")}, '(?i)^(SELECT|WITH)\b|(?:^|;|\(|\))\s*(INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\b')
       AND len(regexp_extract_all(code, '\(')) = len(regexp_extract_all(code, '\)'))
       AND NOT regexp_matches(code, '(?i)\bSELECT\s+FROM\b|\bFROM\s+(?:WHERE|GROUP|ORDER|LIMIT)\b|\b(?:WHERE|AND|OR|BY|ON|FROM|SELECT)\s*;?\s*$') AS parses
       FROM code)
@@ -735,13 +736,37 @@ def q_unknown_columns(spark, sf):
       CASE WHEN NOT parses OR parses IS NULL THEN 'n/a' WHEN stmt_id IN (SELECT stmt_id FROM bad_tables)
            OR stmt_id IN (SELECT stmt_id FROM bad_columns) THEN 'alucinou' ELSE 'ok' END AS "schema",
       CASE WHEN NOT parses OR parses IS NULL THEN 'n/a' WHEN verb IS NOT NULL THEN 'escrita: ' || verb WHEN several THEN 'multi_statement' ELSE 'ok' END AS seguranca,
-      CASE WHEN NOT parses OR parses IS NULL THEN 'n/a' WHEN bare > 0 THEN bare || ' JOIN sem ON' ELSE 'ok' END AS eficiencia
-    FROM checked""",
-)
+      CASE WHEN NOT parses OR parses IS NULL THEN 'n/a' WHEN bare > 0 THEN bare || ' JOIN sem ON' ELSE 'ok' END AS eficiencia,
+      CASE WHEN parses THEN unknown_names END AS unknown_names
+    FROM checked LEFT JOIN bad_names USING (stmt_id)"""
+
+
+@register("axis_verdicts", f"WITH {_CATALOG_SQL}, {_NAMES_SQL}, {_VERDICTS_SQL}")
 def q_axis_verdicts(spark, sf):
     return axis_verdicts(_audited(spark, sf), _catalog(spark, sf))
 
 
+# Whole documents quoted into statements: as a literal, and as a comment if they do not end one.
+_QUOTED_SQL = """audited AS (SELECT doc_id AS stmt_id, CASE WHEN doc_id % 2 = 0 OR contains(text, '*/')
+    THEN 'SELECT ' || chr(39) || replace(text, chr(39), chr(39) || chr(39)) || chr(39)
+         || ' AS note, odd_column FROM documents WHERE doc_id = ' || doc_id
+    ELSE 'SELECT doc_id /* ' || text || ' */ FROM odd_table' END AS sql FROM documents)"""
+
+
+@register(
+    "axis_verdicts_quoting",
+    f"WITH {_CATALOG_SQL}, {_QUOTED_SQL}, {_NAMES_SQL[_NAMES_SQL.index('code AS ('):]}, {_VERDICTS_SQL}",
+)
+def q_axis_verdicts_quoting(spark, sf):
+    text, number = F.col("text"), F.col("doc_id").cast("string")
+    quoted = F.replace(text, F.lit("'"), F.lit("''"))
+    literal = F.concat(F.lit("SELECT '"), quoted, F.lit("' AS note, odd_column FROM documents WHERE doc_id = "), number)
+    comment = F.concat(F.lit("SELECT doc_id /* "), text, F.lit(" */ FROM odd_table"))
+    sql = F.when((F.col("doc_id") % 2 == 0) | text.contains("*/"), literal).otherwise(comment)
+    statements = read_table(spark, sf, "documents").select(F.col("doc_id").alias("stmt_id"), sql.alias("sql"))
+    return axis_verdicts(statements, _catalog(spark, sf))
+
+
 # ---------------------------------------------------------------- cache
 # Events are store calls: what was asked, the SQL, its result and sometimes a reply. The first half of
 # the month is already in the cache, the second half is the new batch.
@@ -888,9 +913,9 @@ def q_thread_preview(spark, sf):
     SELECT conv_id, turn FROM c WHERE place = 1 AND NOT contains(lower(text), 'license')""",
 )
 def q_cache_eligible(spark, sf):
-    rows = history_window(_messages(spark, sf))
     failed = F.when(F.lower("text").contains("license"), F.lit("refused"))
-    return cache_eligible(rows.withColumn("error", failed)).select("conv_id", "turn")
+    turns = read_table(spark, sf, "conversations").select("conv_id", "turn", failed.alias("error"))
+    return cache_eligible(turns).select("conv_id", "turn")
 
 
 # ---------------------------------------------------------------- terms
@@ -933,8 +958,37 @@ _TERMS_SQL = (
 )
 def q_resolve_terms(spark, sf):
     found = resolve_terms(_part_questions(spark, sf), SYNONYMS)
-    rows = found.select("question_id", "term", F.explode("targets").alias("measure_name"), "is_proxy")
-    return rows.distinct()
+    return found.select("question_id", "term", F.explode("targets").alias("measure_name"), "is_proxy")
+
+
+GROUP_SYNONYMS = [
+    ("promoção", ["PROMO"], False),
+    ("promocao", ["PROMO"], False),
+    ("pequenos", ["SMALL"], False),
+    ("pequenos e médios", ["SMALL", "MEDIUM"], False),
+]
+_GROUPS_ASKED = [(15, "em PROMOÇÃO"), (30, "Pequenos e Médios"), (40, "pequenos ou em promocao"), (50, "grandes")]
+
+
+@register(
+    "resolve_groups",
+    """WITH asked AS (SELECT p_partkey AS question_id, unnest(CASE WHEN p_size <= 15 THEN ['promocao']
+      WHEN p_size <= 30 THEN ['pequenos e medios'] WHEN p_size <= 40 THEN ['pequenos', 'promocao'] ELSE [] END) AS term FROM part),
+    syn AS (SELECT * FROM (VALUES ('promocao', 'PROMO'), ('pequenos', 'SMALL'), ('pequenos e medios', 'SMALL'),
+      ('pequenos e medios', 'MEDIUM')) AS t(term, group_name)),
+    sizes AS (SELECT p_type AS group_name, COUNT(*) AS n_items FROM part GROUP BY p_type)
+    SELECT question_id, term, group_name, n_items FROM asked JOIN syn USING (term) JOIN sizes USING (group_name)""",
+)
+def q_resolve_groups(spark, sf):
+    """Groups that questions name, with the items in them."""
+    word = F.lit(None).cast("string")
+    for limit, asked in reversed(_GROUPS_ASKED):
+        word = F.when(F.col("p_size") <= limit, asked).otherwise(word)
+    part = read_table(spark, sf, "part")
+    questions = part.select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("Quais itens "), word, F.lit("?")).alias("question"))
+    found = resolve_terms(questions, GROUP_SYNONYMS).select("question_id", "term", F.explode("targets").alias("group_name"))
+    sizes = part.groupBy(F.col("p_type").alias("group_name")).agg(F.count("*").alias("n_items"))
+    return found.join(sizes, "group_name").select("question_id", "term", "group_name", "n_items")
 
 
 @register(
@@ -944,8 +998,7 @@ def q_resolve_terms(spark, sf):
     GROUP BY question_id, term""",
 )
 def q_resolve_composite(spark, sf):
-    unique_terms = [s for s in SYNONYMS if s[0] != "preco"]
-    totals = resolve_totals(_part_questions(spark, sf), unique_terms, parts(spark, sf), ["question_id"], SCALE)
+    totals = resolve_totals(_part_questions(spark, sf), SYNONYMS, parts(spark, sf), ["question_id"], SCALE)
     return totals.select("question_id", "term", "total")
 
 

@@ -91,12 +91,21 @@ def _star(spark: SparkSession, longs: list[DataFrame], catalog) -> Star:
     return Star(groups, item_dim(longs[0], groups, SOURCE), measures, build_fact(longs, measures))
 
 
-_gold: dict[tuple[str, str, str], Star] = {}
+_gold: dict[tuple, Star] = {}
 
 
-def _gold_once(spark: SparkSession, sf: str, name: str, longs, catalog) -> Star:
-    """Gold tables are built once per application and folder, then queried, as in any warehouse."""
-    key = (spark.sparkContext.applicationId, sf, name)
+def _versions(spark: SparkSession, sf: str, tables: tuple[str, ...]) -> tuple:
+    """Name, size and time of change of the tables' files."""
+    found = []
+    for table in tables:
+        files = read_table(spark, sf, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        found += sorted(map(tuple, files.distinct().collect()))
+    return tuple(found)
+
+
+def _gold_once(spark: SparkSession, sf: str, name: str, longs, catalog, tables: tuple[str, ...]) -> Star:
+    """Gold tables are built once per application and state of their tables, then queried, as in any warehouse."""
+    key = (spark.sparkContext.applicationId, sf, name, _versions(spark, sf, tables))
     if key not in _gold:
         _gold[key] = write_gold(_star(spark, longs(spark, sf), catalog), new_path(spark, f"gold-{name}"))
     return _gold[key]
@@ -111,11 +120,11 @@ def build_docs(spark: SparkSession, sf: str) -> Star:
 
 
 def parts(spark: SparkSession, sf: str) -> Star:
-    return _gold_once(spark, sf, "parts", part_longs, PART_MEASURES)
+    return _gold_once(spark, sf, "parts", part_longs, PART_MEASURES, ("part", "lineitem"))
 
 
 def docs(spark: SparkSession, sf: str) -> Star:
-    return _gold_once(spark, sf, "docs", doc_longs, DOC_MEASURES)
+    return _gold_once(spark, sf, "docs", doc_longs, DOC_MEASURES, ("documents", "labels"))
 
 
 # The same stars for the SQL oracle, as WITH parts.

@@ -31,15 +31,20 @@ from larder.operators.rank import (
 )
 from larder.operators.reshape import pivot_measures, to_long
 from larder.operators.similar import similar_to, similar_to_anchors
-from larder.operators.star import register_views, star_rows
+from larder.operators.star import Star, build_fact, group_dim, measure_dim, register_views, star_rows
 from larder.plans.registry import register
 from larder.plans.testdata import (
+    DOC_MEASURES,
     DOCS_SQL,
+    PART_MEASURES,
     PARTS_SQL,
     SCALE,
-    build_docs,
+    SOURCE,
     build_parts,
+    doc_longs,
     docs,
+    part_longs,
+    part_sheet,
     parts,
 )
 from larder.sources.tables import read_table
@@ -304,6 +309,17 @@ def q_pivot_measures(spark, sf):
 # ---------------------------------------------------------------- star
 
 
+@register(
+    "dim_group_key_null",
+    """WITH g AS (SELECT DISTINCT nullif(p_type, 'PROMO') AS group_name FROM part)
+    SELECT row_number() OVER (ORDER BY group_name NULLS LAST) AS group_id, group_name FROM g""",
+)
+def q_dim_group_key_null(spark, sf):
+    """A group without a name gets the last key."""
+    sheet = part_sheet(spark, sf).withColumn("item_group", F.nullif("item_group", F.lit("PROMO")))
+    return group_dim(sheet, SOURCE).select("group_id", "group_name")
+
+
 @register("dim_group_key", f"WITH {PARTS_SQL} SELECT group_id, group_name FROM grp")
 def q_dim_group_key(spark, sf):
     return build_parts(spark, sf).group.select("group_id", "group_name")
@@ -334,7 +350,7 @@ def q_dim_measure(spark, sf):
     FROM fact JOIN measure USING (measure_name)""",
 )
 def q_fact_union(spark, sf):
-    return build_parts(spark, sf).fact
+    return build_fact(part_longs(spark, sf), measure_dim(spark, PART_MEASURES))
 
 
 @register(
@@ -343,7 +359,7 @@ def q_fact_union(spark, sf):
     FROM fact JOIN measure USING (measure_name)""",
 )
 def q_fact_union_docs(spark, sf):
-    return build_docs(spark, sf).fact
+    return build_fact(doc_longs(spark, sf), measure_dim(spark, DOC_MEASURES))
 
 
 @register(
@@ -554,6 +570,24 @@ def q_total_by_group(spark, sf):
     return total_by_group(parts(spark, sf), "bulk_return_price", scale=SCALE)
 
 
+@register(
+    "total_by_group_plain",
+    f"""WITH {PARTS_SQL} SELECT group_name, SUM(value) AS total FROM star WHERE measure_name = 'qty_total' GROUP BY group_name""",
+)
+def q_total_by_group_plain(spark, sf):
+    """Summed as doubles, without rounding: quantities are whole, so any order of adding gives the same."""
+    return total_by_group(parts(spark, sf), "qty_total")
+
+
+@register(
+    "composite_sum_plain",
+    f"""WITH {PARTS_SQL} SELECT item_id, item_name, SUM(value) AS total FROM star
+    WHERE measure_name IN ('p_size', 'qty_total') GROUP BY item_id, item_name""",
+)
+def q_composite_sum_plain(spark, sf):
+    return composite(parts(spark, sf), ["p_size", "qty_total"], None)
+
+
 @register(
     "total_top1",
     f"""WITH {PARTS_SQL} SELECT group_name, {_EXACT.format("value")} AS total FROM star
@@ -671,6 +705,26 @@ _COVERAGE = """SELECT m.measure_name, COUNT(CASE WHEN value > 0 THEN 1 END) AS p
     FROM measure m LEFT JOIN fact f USING (measure_name) GROUP BY m.measure_name"""
 
 
+# Sizes above 40 below zero, size 7 not a number.
+_STATES = "CASE WHEN measure_name = 'p_size' AND value > 40 THEN -value WHEN measure_name = 'p_size' AND value = 7 THEN NULL ELSE value END"
+
+
+@register(
+    "coverage_profile_states",
+    f"""WITH {PARTS_SQL}, s AS (SELECT item_id, measure_name, {_STATES} AS value FROM fact)
+    SELECT m.measure_name, COUNT(CASE WHEN value <> 0 THEN 1 END) AS present, COUNT(CASE WHEN value = 0 THEN 1 END) AS zero,
+    COUNT(CASE WHEN s.item_id IS NOT NULL AND value IS NULL THEN 1 END) AS missing,
+    (SELECT COUNT(*) FROM item) - COUNT(DISTINCT s.item_id) AS absent
+    FROM measure m LEFT JOIN s USING (measure_name) GROUP BY m.measure_name""",
+)
+def q_coverage_profile_states(spark, sf):
+    """Negative values are present, what is not a number is missing."""
+    star, value = parts(spark, sf), F.col("value")
+    size = F.col("measure_id") == 1
+    odd = F.when(size & (value > 40), -value).when(size & (value == 7), F.lit(float("nan"))).otherwise(value)
+    return coverage_profile(Star(star.group, star.item, star.measure, star.fact.withColumn("value", odd)))
+
+
 @register("coverage_profile", f"WITH {DOCS_SQL} {_COVERAGE}")
 def q_coverage_profile(spark, sf):
     return coverage_profile(docs(spark, sf))

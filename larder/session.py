@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ def local_session(app: str = "larder", cores: str = "8", memory: str = "8g") ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
@@ -26,17 +26,14 @@ def local_session(app: str = "larder", cores: str = "8", memory: str = "8g") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``, or else the warehouse's.
 
-    Only a local master may fall back to a temporary folder, since there all executors
-    share the machine.
+    The warehouse is shared wherever tables can be written at all, so no machine's own folder is used.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="larder-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_larder/{context.applicationId}"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

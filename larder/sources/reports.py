@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions.text import fingerprint
 from larder.operators.evalruns import AXES, accuracy, run_coverage
 
+# Field names of question sets and run reports.
 QUESTIONS = (
     "version string, total int, questions array<struct<id string, question string, difficulty string, "
     "tags array<string>, clinical_note string, sql_reference string, sql_reference_alt array<string>, "
@@ -76,6 +77,8 @@ def files_fingerprint(spark: SparkSession, paths: Sequence[str], digits: int = 1
     """One fingerprint over the bytes of a few files in the given order: changes when any of them does."""
     content = F.lit(b"")
     for path in paths:
-        file = spark.read.format("binaryFile").load(path).select("content").limit(1)
-        content = F.concat(content, file.scalar())
+        file = spark.read.format("binaryFile").load(path).select("path", "content")
+        if file.select("path").count() != 1:
+            raise ValueError(f"'{path}' is not one file")
+        content = F.concat(content, file.select("content").scalar())
     return spark.range(1).select(fingerprint(content, digits)).first()[0]

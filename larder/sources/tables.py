@@ -44,7 +44,9 @@ def read_references(spark: SparkSession, folder: str, question: str) -> list[tup
 def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
