@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1 << 16
 
 
-def _chunk(order: str, rows: int) -> Column:
-    return F.floor(F.col(order) / F.lit(rows)).cast("long")
+def _chunk(df: DataFrame, order: str, rows: int) -> Column:
+    """Number of a row's chunk: spans of ``rows`` values of a dense order, of more if it is sparse, so that
+    there are about as many chunks as the table has rows to fill them."""
+    spread = (F.max(order) - F.min(order) + 1).cast("double") * rows / F.count(order)
+    width = df.agg(F.greatest(F.lit(float(rows)), F.ceil(F.coalesce(spread, F.lit(0.0))).cast("double"))).scalar()
+    return F.floor(F.col(order) / width).cast("long")
 
 
 def forward_fill(
@@ -29,7 +33,7 @@ def forward_fill(
 ) -> DataFrame:
     """Last non-NULL ``value`` at or before each row, in ``order`` (a whole number), per ``by``."""
     keys = [*by, "_chunk"]
-    rows = df.withColumn("_chunk", _chunk(order, chunk_rows))
+    rows = df.withColumn("_chunk", _chunk(df, order, chunk_rows))
     so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.withColumn("_inside", F.last(value, ignorenulls=True).over(so_far))
 
@@ -63,7 +67,7 @@ def preceding_rows(
     """
     keys = [*by, "_chunk"]
     item = F.struct(order, *columns)
-    rows = df.withColumn("_chunk", _chunk(order, chunk_rows))
+    rows = df.withColumn("_chunk", _chunk(df, order, chunk_rows))
     inside = Window.partitionBy(*keys).orderBy(order)
     near = rows.withColumn("_near", F.collect_list(item).over(inside.rowsBetween(-n, -1)))
 

@@ -1,7 +1,7 @@
 """Does a candidate result equal a reference result?
 
-Columns may be extra, rows may not. Tables are compared where they are: what reaches the driver is
-one fingerprint row per table and one verdict. Ordered comparison needs a position column, since a
+Columns may be extra, rows may not. Tables are compared where they are, any number of questions in one
+plan; a verdict is a row like any other. Ordered comparison needs a position column, since a
 distributed table has no order of its own.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,117 +116,165 @@ def row_differences(
     )
 
 
-def compare_exact(gold: DataFrame, cand: DataFrame, position: str | None = None) -> bool:
-    """Same shape, same values; columns are paired in the order of their names."""
-    left = sorted(f.name for f in _columns(gold, position))
-    right = sorted(f.name for f in _columns(cand, position))
-    pairs = list(zip(left, right, strict=False))
-    if len(left) != len(right) or not _same_kinds(gold, cand, pairs):
-        return False
-    return row_differences(gold, cand, pairs, position).first()["differing"] == 0
-
-
 # Digests are summed modulo this, so that sums stay exact in a long up to 8.7e12 rows.
 DIGEST_MODULUS = 1048573
 
 
-def _fingerprint_row(df: DataFrame, position: str | None) -> DataFrame:
-    """One row: row count, and per column a digest of the multiset of its values."""
-    digests = []
-    for f in _columns(df, position):
+# ---------------------------------------------------------------- many answers at once
+
+
+def answer_rows(
+    df: DataFrame, question: Column, columns: Sequence[str] | None = None, position: str | None = None
+) -> DataFrame:
+    """(question, pos, cells): a row's cells as (name, kind, text), normalised.
+
+    ``df`` may hold the results of any number of questions. ``pos`` is NULL where order is free.
+    """
+    fields = [f for f in _columns(df, position) if columns is None or f.name in columns]
+    cells = []
+    for f in fields:
         kind = "number" if _is_numeric(f) else _kind(f)
-        cell = _normal_cell(f.name, kind)
-        hashed = F.when(cell.isNotNull(), F.xxhash64(cell))
-        digest = F.struct(
-            F.lit(f.name).alias("name"),
-            F.lit(kind).alias("kind"),
-            F.count(cell).alias("n"),
-            F.sum(F.pmod(hashed, F.lit(DIGEST_MODULUS))).alias("s"),
-            F.bit_xor(hashed).alias("x"),
-        )
-        digests.append(digest)
-    return df.agg(F.count("*").alias("n_rows"), F.array(*digests).alias("digests"))
-
-
-def _fingerprints(gold: DataFrame, cand: DataFrame, position: str | None):
-    """(rows, {column: digest}) of both tables, one pass over each."""
-    both = _fingerprint_row(gold, position).withColumn("side", F.lit(0)).unionByName(
-        _fingerprint_row(cand, position).withColumn("side", F.lit(1))
+        text = _normal_cell(f.name, kind).cast("string")
+        cells.append(F.struct(F.lit(f.name).alias("name"), F.lit(kind).alias("kind"), text.alias("v")))
+    place = F.col(position).cast("long") if position else F.lit(None).cast("long")
+    empty = F.array().cast("array<struct<name:string,kind:string,v:string>>")
+    return df.select(question.cast("string").alias("question"), place.alias("pos"), (F.array(*cells) if cells else empty).alias("cells"))
+
+
+def pair_columns(gold: Sequence, cand: Sequence) -> list[tuple[str, str]]:
+    """Pairs of columns (at, name, values, rows) with equal values, the surest first.
+
+    ``values`` is a digest of a column's values, ``rows`` one of its values with what stands beside them.
+    """
+    levels = [("values", "rows", "name"), ("values", "rows"), ("values", "name"), ("values",)]
+    free, pairs = sorted(cand, key=lambda c: c["at"]), {}
+    for level in levels:
+        for g in sorted(gold, key=lambda c: c["at"]):
+            fits = [c for c in free if all(c[k] == g[k] for k in level)]
+            if g["name"] not in pairs and fits:
+                pairs[g["name"]] = fits[0]["name"]
+                free.remove(fits[0])
+    return list(pairs.items())
+
+
+def _digest(hashed: Column) -> Column:
+    return F.concat_ws("|", F.count(hashed), F.sum(F.pmod(hashed, F.lit(DIGEST_MODULUS))), F.bit_xor(hashed))
+
+
+def _row_hash(names: Column) -> Column:
+    """Sum of the hashes of a row's cells under the names a map gives them; other cells do not count."""
+    own = F.aggregate(
+        "cells",
+        F.lit(0).cast("long"),
+        lambda h, c: h + F.when(
+            names[c["name"]].isNotNull(), F.pmod(F.xxhash64(names[c["name"]], c["v"].isNull(), c["v"]), F.lit(1 << 48))
+        ).otherwise(F.lit(0).cast("long")),
     )
-    rows = sorted(both.collect(), key=lambda r: r["side"])
-    return [(r["n_rows"], {d["name"]: (d["kind"], d["n"], d["s"], d["x"]) for d in r["digests"]}) for r in rows]
-
-
-def _pairings(gold: dict[str, tuple], cand: dict[str, tuple], same_name_first: bool):
-    """Candidate column for each gold column with equal values; the columns left without one."""
-    free = list(cand)
-    pairs, unmatched = [], []
-    for name, digest in gold.items():
-        fits = [c for c in free if cand[c] == digest]
-        if same_name_first and name in fits:
-            fits = [name]
-        if fits:
-            pairs.append((name, fits[0]))
-            free.remove(fits[0])
-        else:
-            unmatched.append(name)
-    return pairs, unmatched
-
-
-def compare_subset(
-    gold: DataFrame,
-    cand: DataFrame,
-    position: str | None = None,
-    optional: Sequence[str] = (),
-) -> Verdict:
-    """Every gold column has a candidate column with the same values, and the rows line up.
+    return F.when(names.isNotNull(), own).otherwise(F.lit(0).cast("long"))
 
-    Columns with equal values are told apart by name first and by order second.
+
+def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode: str = "rows") -> DataFrame:
+    """(question, passed, reason) for each question in the ``answer_rows`` of references and candidates.
+
+    One plan for any number of questions; what is shuffled are digests of columns and rows. Columns that
+    share their values are told apart by the rows they stand in, then by name, then by order. A question
+    in neither table has no verdict.
     """
-    (n_gold, gold_prints), (n_cand, cand_prints) = _fingerprints(gold, cand, position)
-    if n_gold == 0 and n_cand == 0:
-        return Verdict(True, "both empty")
-    if n_cand == 0:
-        return Verdict(False, "candidate is empty")
-    if n_gold != n_cand:
-        return Verdict(False, f"cardinality: candidate {n_cand} vs gold {n_gold}")
-
-    may_miss = {c.lower() for c in [*OPTIONAL_COLUMNS, *optional]}
-    tried = []
-    for same_name_first in (True, False):
-        pairs, unmatched = _pairings(gold_prints, cand_prints, same_name_first)
-        missing = [c for c in unmatched if c.lower() not in may_miss]
-        if missing or not pairs:
-            return Verdict(False, f"no candidate column matches '{(missing or unmatched)[0]}'")
-        if pairs in tried:
-            continue
-        tried.append(pairs)
-        if row_differences(gold, cand, pairs, position).first()["differing"] == 0:
-            return Verdict(True, "column subset")
-    return Verdict(False, "values exist but rows do not line up")
-
-
-def compare_values(
-    gold: DataFrame,
-    cand: DataFrame,
-    position: str | None = None,
-    optional: Sequence[str] = (),
-) -> Verdict:
-    """Only the first numeric column of each: tolerant to which of several tied rows made the cut."""
-    first_gold = next((f.name for f in _columns(gold, position) if _is_numeric(f)), None)
-    if first_gold is None:
-        return compare_subset(gold, cand, position, optional)
-    first_cand = next((f.name for f in _columns(cand, position) if _is_numeric(f)), None)
-    # Without a numeric candidate column only the sizes are compared.
-    pairs = [(first_gold, first_cand)] if first_cand else []
-    sizes = row_differences(gold, cand, pairs, position).first()
-    if sizes["gold_rows"] != sizes["cand_rows"]:
-        return Verdict(False, f"cardinality: candidate {sizes['cand_rows']} vs gold {sizes['gold_rows']}")
-    if first_cand is None:
-        return Verdict(False, "candidate has no numeric column")
-    if sizes["differing"] == 0:
-        return Verdict(True, "value sequence")
-    return Verdict(False, "values differ")
+    both = gold.withColumn("side", F.lit("gold")).unionByName(cand.withColumn("side", F.lit("cand")))
+    of = lambda side: F.col("side") == side
+    first = F.filter("cells", lambda c: c["kind"] == "number")
+    numeric = F.when(F.size(first) > 0, F.coalesce(F.get(first, F.lit(0))["v"], F.lit("")))
+    value = F.when(numeric.isNotNull(), F.xxhash64(numeric, "pos"))
+    sizes = both.groupBy("question").agg(
+        F.count_if(of("gold")).alias("n_gold"),
+        F.count_if(of("cand")).alias("n_cand"),
+        F.count_if(of("gold") & numeric.isNotNull()).alias("gold_numbers"),
+        F.count_if(of("cand") & numeric.isNotNull()).alias("cand_numbers"),
+        (_digest(F.when(of("gold"), value)) == _digest(F.when(of("cand"), value))).alias("same_values"),
+    )
+
+    def columns(rows: DataFrame, hashed: Column, out: str) -> DataFrame:
+        cells = rows.select("question", "side", "pos", "beside", F.posexplode("cells").alias("at", "c"))
+        cell = F.when(F.col("c.v").isNotNull(), hashed)
+        return cells.groupBy("question", "side", "c.name", "c.kind").agg(F.min("at").alias("at"), F.concat_ws("|", F.first("c.kind"), _digest(cell)).alias(out))
+
+    plain = columns(both.withColumn("beside", F.lit(0)), F.xxhash64("c.v"), "values")
+    # What stands in a row, whichever of the columns with equal values it stands in.
+    shared = plain.groupBy("question", "values").agg(F.count_if(of("gold")).alias("g"), F.count_if(of("cand")).alias("c")).where("g = c")
+    marks = plain.join(shared, ["question", "values"]).groupBy("question", "side")
+    marks = marks.agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("marks"))
+    beside = both.join(marks, ["question", "side"], "left").withColumn("beside", _row_hash(F.col("marks")))
+    among = columns(beside, F.xxhash64("c.v", "pos", "beside"), "rows").drop("at", "kind")
+    known = plain.join(among, ["question", "side", "name"])
+    column = F.struct("at", "name", "values", "rows")
+    lists = known.groupBy("question").agg(
+        F.collect_list(F.when(of("gold"), column)).alias("gold"), F.collect_list(F.when(of("cand"), column)).alias("cand")
+    )
+    pairing = F.udf(pair_columns, "array<struct<gold:string,cand:string>>", useArrow=False)
+    paired = lists.withColumn("pairs", pairing("gold", "cand"))
+    may_miss = F.array(*[F.lit(c.lower()) for c in [*OPTIONAL_COLUMNS, *optional]])
+    unmatched = F.filter(F.array_sort("gold"), lambda c: ~F.array_contains(F.col("pairs.gold"), c["name"]))
+    missing = F.filter(unmatched, lambda c: ~F.array_contains(may_miss, F.lower(c["name"])))
+    lacks = F.when(F.size(missing) > 0, F.get(missing, F.lit(0))["name"]).when(F.size("pairs") == 0, F.get(unmatched, F.lit(0))["name"])
+    paired = paired.select("question", "pairs", lacks.alias("lacks"))
+    named = paired.select("question", F.explode("pairs").alias("p")).select(
+        "question",
+        F.inline(
+            F.array(
+                F.struct(F.lit("gold").alias("side"), F.col("p.gold").alias("name"), F.col("p.gold").alias("as")),
+                F.struct(F.lit("cand").alias("side"), F.col("p.cand").alias("name"), F.col("p.gold").alias("as")),
+            )
+        ),
+    )
+    names = named.groupBy("question", "side").agg(F.map_from_entries(F.collect_list(F.struct("name", "as"))).alias("names"))
+    hashed = both.join(names, ["question", "side"]).withColumn("_h", F.xxhash64(_row_hash(F.col("names")), "pos"))
+    lined = hashed.groupBy("question").agg((_digest(F.when(of("gold"), F.col("_h"))) == _digest(F.when(of("cand"), F.col("_h")))).alias("line_up"))
+
+    rows = sizes.join(paired.drop("pairs"), "question", "left").join(lined, "question", "left")
+    count = F.concat(F.lit("cardinality: candidate "), F.col("n_cand").cast("string"), F.lit(" vs gold "), F.col("n_gold").cast("string"))
+    subset = (
+        F.when(F.col("n_cand") == 0, "candidate is empty")
+        .when(F.col("n_gold") != F.col("n_cand"), count)
+        .when(F.col("lacks").isNotNull(), F.concat(F.lit("no candidate column matches '"), "lacks", F.lit("'")))
+        .when(F.col("line_up"), "column subset")
+        .otherwise("values exist but rows do not line up")
+    )
+    values = (
+        F.when(F.col("n_gold") != F.col("n_cand"), count)
+        .when(F.col("cand_numbers") == 0, "candidate has no numeric column")
+        .when(F.col("same_values"), "value sequence")
+        .otherwise("values differ")
+    )
+    reason = F.when(F.col("gold_numbers") == 0, subset).otherwise(values) if mode == "values" else subset
+    judged = rows.select("question", reason.alias("reason"))
+    return judged.select("question", F.col("reason").isin("column subset", "value sequence").alias("passed"), "reason")
+
+
+def judge_any(golds: Sequence[tuple[str, DataFrame]], cand: DataFrame, optional: Sequence[str] = (), mode: str = "rows") -> DataFrame:
+    """The same against several references: the first that passes, else the reason of the first."""
+    parts = [judge(gold, cand, optional, mode).withColumns({"_at": F.lit(i), "_name": F.lit(name)}) for i, (name, gold) in enumerate(golds)]
+    every = reduce(DataFrame.unionByName, parts)
+    best = every.groupBy("question").agg(F.min_by(F.struct("passed", "reason", "_name"), F.struct(~F.col("passed"), "_at")).alias("b"))
+    reason = F.when(F.col("b.passed"), F.concat("b.reason", F.lit(" ["), "b._name", F.lit("]"))).otherwise(F.col("b.reason"))
+    return best.select("question", F.col("b.passed").alias("passed"), reason.alias("reason"))
+
+
+def exact_verdict(gold: DataFrame, cand: DataFrame, position: str | None = None) -> DataFrame:
+    """One row (passed): same shape, same values; columns are paired in the order of their names."""
+    left = sorted(f.name for f in _columns(gold, position))
+    right = sorted(f.name for f in _columns(cand, position))
+    pairs = list(zip(left, right, strict=False))
+    differing = row_differences(gold, cand, pairs, position) if _same_kinds(gold, cand, pairs) else gold.agg(F.lit(1).alias("differing"))
+    return differing.select(((F.col("differing") == 0) & F.lit(len(left) == len(right))).alias("passed"))
+
+
+def _one(verdicts: DataFrame) -> Verdict:
+    found = verdicts.first()
+    return Verdict(found["passed"], found["reason"]) if found else Verdict(True, "both empty")
+
+
+def compare_exact(gold: DataFrame, cand: DataFrame, position: str | None = None) -> bool:
+    return exact_verdict(gold, cand, position).first()["passed"]
 
 
 def compare(
@@ -235,8 +284,19 @@ def compare(
     mode: str = "rows",
     optional: Sequence[str] = (),
 ) -> Verdict:
-    how = compare_values if mode == "values" else compare_subset
-    return how(gold, cand, position, optional)
+    """Verdict on one pair of tables."""
+    one = F.lit("one")
+    return _one(judge(answer_rows(gold, one, position=position), answer_rows(cand, one, position=position), optional, mode))
+
+
+def compare_subset(gold: DataFrame, cand: DataFrame, position: str | None = None, optional: Sequence[str] = ()) -> Verdict:
+    """Every gold column has a candidate column with the same values, and the rows line up."""
+    return compare(gold, cand, position, "rows", optional)
+
+
+def compare_values(gold: DataFrame, cand: DataFrame, position: str | None = None, optional: Sequence[str] = ()) -> Verdict:
+    """Only the first numeric column of each: tolerant to which of several tied rows made the cut."""
+    return compare(gold, cand, position, "values", optional)
 
 
 def compare_any(
@@ -247,13 +307,10 @@ def compare_any(
     optional: Sequence[str] = (),
 ) -> Verdict:
     """Passes on the first reference that matches, else gives the reason of the first."""
-    first = None
-    for name, gold in references:
-        verdict = compare(gold, cand, position, mode, optional)
-        if verdict.passed:
-            return Verdict(True, f"{verdict.reason} [{name}]")
-        first = first or verdict
-    return first or Verdict(False, "no reference")
+    if not references:
+        return Verdict(False, "no reference")
+    golds = [(name, answer_rows(gold, F.lit("one"), position=position)) for name, gold in references]
+    return _one(judge_any(golds, answer_rows(cand, F.lit("one"), position=position), optional, mode))
 
 
 def name_overlap(ref: DataFrame, cand: DataFrame, column: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,15 +27,7 @@ from larder.operators.cache import (
     valid_reuse,
     with_key,
 )
-from larder.operators.compare import (
-    Verdict,
-    compare,
-    compare_any,
-    compare_exact,
-    compare_subset,
-    name_overlap,
-    values_contained,
-)
+from larder.operators.compare import answer_rows, exact_verdict, judge, judge_any, name_overlap, values_contained
 from larder.operators.compose import total_by_group
 from larder.operators.conversation import history_window, render_history, thread_preview
 from larder.operators.rank import rank_items, top_k
@@ -42,7 +37,8 @@ from larder.plans.registry import register
 from larder.plans.testdata import PARTS_SQL, SCALE, parts
 from larder.plans.warehouse_queries import QUESTION_KEY_SQL, TABLES
 from larder.session import new_path
-from larder.sources.reports import report_details, run_heads, write_reports
+from larder.sources.grid import read_grid
+from larder.sources.reports import read_reports, report_details, run_heads, write_reports
 from larder.sources.tables import catalog_of, read_references, read_table, write_references, write_table
 
 # ---------------------------------------------------------------- result comparison
@@ -63,9 +59,12 @@ def _gold(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "orders").select(*_GOLD)
 
 
-def _verdict_rows(spark: SparkSession, verdicts: dict[str, bool | Verdict]) -> DataFrame:
-    rows = [(name, v.passed if isinstance(v, Verdict) else v) for name, v in verdicts.items()]
-    return spark.createDataFrame(rows, "case_name string, passed boolean")
+def _case(name: str, df: DataFrame, position: str | None = None) -> DataFrame:
+    return answer_rows(df, F.lit(name), position=position)
+
+
+def _all(rows: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _wrong_value(gold: DataFrame) -> DataFrame:
@@ -102,16 +101,15 @@ def _swapped(gold: DataFrame) -> DataFrame:
 )
 def q_cmp_exact(spark, sf):
     gold = _gold(spark, sf)
-    return _verdict_rows(
-        spark,
-        {
-            "identical": compare_exact(gold, gold),
-            "wrong_value": compare_exact(gold, _wrong_value(gold)),
-            "fewer_rows": compare_exact(gold, gold.filter("o_orderpriority <> '1-URGENT'")),
-            "more_columns": compare_exact(gold, gold.withColumn("unit", F.lit("money"))),
-            "same_order": compare_exact(gold, gold, position="o_orderkey"),
-        },
-    )
+    cases = {
+        "identical": (gold, gold),
+        "wrong_value": (gold, _wrong_value(gold)),
+        "fewer_rows": (gold, gold.filter("o_orderpriority <> '1-URGENT'")),
+        "more_columns": (gold, gold.withColumn("unit", F.lit("money"))),
+    }
+    verdicts = [exact_verdict(g, c).withColumn("case_name", F.lit(name)) for name, (g, c) in cases.items()]
+    verdicts.append(exact_verdict(gold, gold, "o_orderkey").withColumn("case_name", F.lit("same_order")))
+    return _all(verdicts).select("case_name", "passed")
 
 
 _URGENT_SQL = "SELECT * FROM g WHERE o_orderpriority = '1-URGENT'"
@@ -119,39 +117,66 @@ _SWAPPED_SQL = """SELECT g.o_orderkey, b.o_custkey, g.o_totalprice, g.o_orderpri
     JOIN g b ON g.o_orderkey = (SELECT MAX(o_orderkey) FROM g) - b.o_orderkey"""
 
 
+_DIFFERENT = "values exist but rows do not line up"
+
+
+def _subset_sql(name: str, gold: str, cand: str, why: str) -> str:
+    same = _same_sql(gold, cand)
+    return f"SELECT '{name}' AS case_name, {same} AS passed, CASE WHEN {same} THEN 'column subset' ELSE {why} END AS reason"
+
+
+def _count_sql(gold: str, cand: str) -> str:
+    return f"'cardinality: candidate ' || (SELECT COUNT(*) FROM ({cand})) || ' vs gold ' || (SELECT COUNT(*) FROM ({gold}))"
+
+
+_WRONG_SQL = "SELECT * REPLACE (CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM g"
+
+
 @register(
     "cmp_subset",
     f"""WITH {_GOLD_SQL},
     u AS (SELECT 'money' AS currency, '  ' || lower(o_orderpriority) AS prio, o_totalprice + 0.0001 AS total,
-          CAST(o_custkey AS DOUBLE) AS customer, o_orderkey AS id FROM g)
-    SELECT 'identical' AS case_name, {_same_sql("SELECT * FROM g", "SELECT * FROM g")} AS passed
-    UNION ALL SELECT 'untidy', {_same_sql(
-        "SELECT o_orderkey, CAST(o_custkey AS DOUBLE), round(o_totalprice, 2), lower(o_orderpriority) FROM g",
-        "SELECT id, customer, round(total, 2), trim(prio) FROM u")}
-    UNION ALL SELECT 'wrong_value', {_same_sql("SELECT * FROM g", "SELECT * REPLACE (CASE WHEN o_orderpriority = '5-LOW' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM g")}
-    UNION ALL SELECT 'fewer_rows', {_same_sql("SELECT * FROM g", _URGENT_SQL)}
-    UNION ALL SELECT 'whole_dump', {_same_sql(_URGENT_SQL, "SELECT * FROM g")}
-    UNION ALL SELECT 'swapped_rows', {_same_sql("SELECT * FROM g", _SWAPPED_SQL)}
-    UNION ALL SELECT 'empty', {_same_sql("SELECT * FROM g", "SELECT * FROM g WHERE o_orderkey < 0")}
-    UNION ALL SELECT 'optional_missing', {_same_sql("SELECT o_orderkey, o_custkey FROM g", "SELECT id, CAST(customer AS BIGINT) FROM u")}""",
+          CAST(o_custkey AS DOUBLE) AS customer, o_orderkey AS id FROM g) """
+    + " UNION ALL ".join(
+        [
+            _subset_sql("identical", "SELECT * FROM g", "SELECT * FROM g ORDER BY o_totalprice", "''"),
+            _subset_sql(
+                "untidy",
+                "SELECT o_orderkey, CAST(o_custkey AS DOUBLE), round(o_totalprice, 2), lower(o_orderpriority) FROM g",
+                "SELECT id, customer, round(total, 2), trim(prio) FROM u",
+                "''",
+            ),
+            _subset_sql("wrong_value", "SELECT * FROM g", _WRONG_SQL, "'no candidate column matches ' || chr(39) || 'o_totalprice' || chr(39)"),
+            _subset_sql("fewer_rows", "SELECT * FROM g", _URGENT_SQL, _count_sql("SELECT * FROM g", _URGENT_SQL)),
+            _subset_sql("whole_dump", _URGENT_SQL, "SELECT * FROM g", _count_sql(_URGENT_SQL, "SELECT * FROM g")),
+            _subset_sql("swapped_rows", "SELECT * FROM g", _SWAPPED_SQL, f"'{_DIFFERENT}'"),
+            _subset_sql("empty", "SELECT * FROM g", "SELECT * FROM g WHERE o_orderkey < 0", "'candidate is empty'"),
+            _subset_sql("optional_missing", "SELECT o_orderkey, o_custkey FROM g", "SELECT id, CAST(customer AS BIGINT) FROM u", "''"),
+            _subset_sql("crossed_names", "SELECT o_orderkey, -o_orderkey FROM g", "SELECT -(-o_orderkey), -o_orderkey FROM g", "''"),
+        ]
+    ),
 )
 def q_cmp_subset(spark, sf):
+    """Nine answers to nine questions, judged in one plan."""
     gold = _gold(spark, sf)
     urgent = gold.filter("o_orderpriority = '1-URGENT'")
     labelled = gold.select("o_orderkey", "o_custkey", F.lit("piece").alias("unit"), F.lit("x").alias("note"))
-    return _verdict_rows(
-        spark,
-        {
-            "identical": compare_subset(gold, gold),
-            "untidy": compare_subset(gold, _untidy(gold)),
-            "wrong_value": compare_subset(gold, _wrong_value(gold)),
-            "fewer_rows": compare_subset(gold, urgent),
-            "whole_dump": compare_subset(urgent, gold),
-            "swapped_rows": compare_subset(gold, _swapped(gold)),
-            "empty": compare_subset(gold, gold.filter("o_orderkey < 0")),
-            "optional_missing": compare_subset(labelled, _untidy(gold), optional=["note"]),
-        },
-    )
+    most = gold.agg(F.max("o_orderkey")).scalar()
+    back = gold.select("o_orderkey", F.col("o_orderkey").alias("a"), (most - F.col("o_orderkey")).alias("b"))
+    cases = {
+        "identical": (gold, gold),
+        "untidy": (gold, _untidy(gold)),
+        "wrong_value": (gold, _wrong_value(gold)),
+        "fewer_rows": (gold, urgent),
+        "whole_dump": (urgent, gold),
+        "swapped_rows": (gold, _swapped(gold)),
+        "empty": (gold, gold.filter("o_orderkey < 0")),
+        "optional_missing": (labelled, _untidy(gold)),
+        "crossed_names": (back, back.select("o_orderkey", F.col("b").alias("x"), F.col("a").alias("y"))),
+    }
+    golds = _all(_case(name, g) for name, (g, _) in cases.items())
+    cands = _all(_case(name, c) for name, (_, c) in cases.items())
+    return judge(golds, cands, optional=["note"]).withColumnRenamed("question", "case_name")
 
 
 _RANKED = f"""r AS (SELECT item_id, item_name, value, row_number() OVER (ORDER BY value DESC, item_name, item_id) AS a,
@@ -172,10 +197,9 @@ def q_cmp_values(spark, sf):
     rows = rank_items(star, "p_size", None).orderBy(*other_way).limit(10)
     cand = rows.withColumn("row_num", F.row_number().over(Window.orderBy(*other_way)))
     cand = cand.select("item_name", "value", "item_id", "row_num")
-    return _verdict_rows(
-        spark,
-        {"rows": compare(gold, cand, "row_num"), "values": compare(gold, cand, "row_num", mode="values")},
-    )
+    by_rows = judge(_case("rows", gold, "row_num"), _case("rows", cand, "row_num"))
+    by_values = judge(_case("values", gold, "row_num"), _case("values", cand, "row_num"), mode="values")
+    return by_rows.unionByName(by_values).select(F.col("question").alias("case_name"), "passed")
 
 
 @register(
@@ -194,14 +218,13 @@ def q_cmp_any(spark, sf):
     folder = new_path(spark, "references")
     write_references({"total_by_group": totals, "total_by_group_alt0": best}, folder)
     references = read_references(spark, folder, "total_by_group")
-    return _verdict_rows(
-        spark,
-        {
-            "all_groups": compare_any(references, totals),
-            "top_group": compare_any(references, best),
-            "no_alternative": compare_any(references[:1], best),
-        },
-    )
+    cands = {"all_groups": totals, "top_group": best, "no_alternative": best}
+    golds = []
+    for i, (name, df) in enumerate(references):
+        known = [c for c in cands if i == 0 or c != "no_alternative"]
+        golds.append((name, _all(_case(c, df) for c in known)))
+    answers = _all(_case(name, df) for name, df in cands.items())
+    return judge_any(golds, answers).select(F.col("question").alias("case_name"), "passed")
 
 
 @register(
@@ -372,6 +395,45 @@ def q_run_summary(spark, sf):
     return evalruns.run_summary(_details(spark, sf), _scored(spark, sf))
 
 
+# Answers to one question per nation (its customers with balances) in three runs: the second leaves out
+# customers in debt, the third adds one to the balances of every fifth nation.
+_ANSWERS_SQL = """g AS (SELECT c_nationkey AS id, c_custkey, c_acctbal FROM customer),
+answers AS (SELECT 'run0' AS run_at, id, c_custkey, c_acctbal FROM g
+    UNION ALL SELECT 'run1', id, c_custkey, c_acctbal FROM g WHERE c_acctbal >= 0
+    UNION ALL SELECT 'run2', id, c_custkey, c_acctbal + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END FROM g),
+runs AS (SELECT DISTINCT run_at FROM answers),
+missed AS (SELECT r.run_at, g.id FROM runs r, g LEFT JOIN answers a
+    ON a.run_at = r.run_at AND a.id = g.id AND a.c_custkey = g.c_custkey AND a.c_acctbal = g.c_acctbal
+    WHERE a.c_custkey IS NULL)"""
+
+
+@register(
+    "rescore_answers",
+    f"""WITH {_ANSWERS_SQL} SELECT r.run_at, CAST(n.n_nationkey AS BIGINT) AS id, n.n_name AS difficulty,
+    CASE WHEN EXISTS (SELECT 1 FROM missed m WHERE m.run_at = r.run_at AND m.id = n.n_nationkey) THEN 'fail' ELSE 'pass' END AS status
+    FROM runs r, nation n WHERE n.n_nationkey IN (SELECT id FROM g)""",
+)
+def q_rescore_answers(spark, sf):
+    """Stored answers of three runs judged against their references, and the runs scored by the verdicts."""
+    columns = ["c_custkey", "c_acctbal"]
+    gold = read_table(spark, sf, "customer").select(F.col("c_nationkey").cast("long").alias("id"), *columns)
+    off = F.col("c_acctbal") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)
+    given = {"run0": gold, "run1": gold.filter("c_acctbal >= 0"), "run2": gold.withColumn("c_acctbal", off)}
+    golds, cands = [], []
+    for run, answer in given.items():
+        question = F.concat_ws("/", F.lit(run), "id")
+        golds.append(answer_rows(gold, question, columns))
+        cands.append(answer_rows(answer, question, columns))
+    parts = F.split("question", "/")
+    judged = judge(_all(golds), _all(cands)).select(F.get(parts, F.lit(0)).alias("run_at"), F.get(parts, F.lit(1)).cast("long").alias("id"), "passed")
+    yes, no = F.lit(True), F.lit(False)
+    verdicts = judged.select("run_at", "id", yes.alias("executes"), yes.alias("has_gold"), F.col("passed").alias("matches"), no.alias("refuses"))
+    nation = read_table(spark, sf, "nation")
+    questions = nation.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("difficulty"), no.alias("expects_refusal"))
+    details = judged.select("run_at", "id", F.lit("SELECT").alias("sql"))
+    return evalruns.rescore(details, questions, verdicts)
+
+
 _COMMON_SQL = """common AS (SELECT id FROM scored WHERE status IN ('pass','fail','sql_error') GROUP BY id
     HAVING COUNT(DISTINCT run_at) >= (SELECT COUNT(DISTINCT run_at) FROM scored))"""
 
@@ -1014,6 +1076,29 @@ def q_write_then_read(spark, sf):
     return spark.read.parquet(path).select("l_orderkey", "l_returnflag", "l_quantity")
 
 
+@register("grid_round_trip", "SELECT CAST(o_orderkey AS VARCHAR) AS c0, o_orderpriority AS c1, NULL::VARCHAR AS c2 FROM orders")
+def q_grid_round_trip(spark, sf):
+    """A sheet exported as CSV in several files and read back as a grid."""
+    path = new_path(spark, "sheet")
+    rows = read_table(spark, sf, "orders").select(F.col("o_orderkey").cast("string"), "o_orderpriority", F.lit("").alias("blank"))
+    rows.repartition(3, "o_orderkey").write.csv(path, emptyValue="")
+    grid = read_grid(spark, path, 3)
+    # A number that two rows share would drop one of them here.
+    return grid.dropDuplicates(["row_idx"]).select("c0", "c1", "c2")
+
+
+@register("report_round_trip", f"WITH {_RUNS_SQL} SELECT run_at, CAST(id AS VARCHAR) AS id, status, sintaxe FROM details")
+def q_report_round_trip(spark, sf):
+    """One nested document of many lines for each run, read back by the report reader."""
+    folder = new_path(spark, "documents")
+    checks = F.struct("sintaxe", "schema", "seguranca", "eficiencia").alias("checks")
+    detail = F.struct(F.col("id").cast("string").alias("id"), "status", checks)
+    runs = _details(spark, sf).groupBy("run_at").agg(F.collect_list(detail).alias("details"))
+    text = F.to_json(F.struct("run_at", "details"), {"pretty": "true"})
+    runs.select(F.col("run_at").alias("run"), text.alias("value")).write.partitionBy("run").text(folder)
+    return report_details(read_reports(spark, f"{folder}/*")).select("run_at", "id", "status", "sintaxe")
+
+
 @register(
     "report_sink",
     f"""WITH {_RUNS_SQL} SELECT run_at, id, difficulty, status, passed, skipped FROM details""",

@@ -47,3 +47,12 @@ def test_dense_key_over_partitions(spark):
     got = {r["name"]: r.id for r in dense_key(df, ["name"], "id").collect()}
     assert got == {n: i + 1 for i, n in enumerate(sorted(names))}
     assert dense_key(df.filter(F.lit(False)), ["name"], "id").count() == 0
+
+
+def test_sparse_order_has_few_chunks(spark):
+    from larder.operators.chunked import _chunk
+
+    df = spark.range(1000).select((F.col("id") * 1_000_000 + 17).alias("o"), F.when(F.col("id") % 300 == 5, F.col("id").cast("string")).alias("v"))
+    assert df.select(_chunk(df, "o", 100).alias("c")).distinct().count() <= 12
+    got = {r.o: r.f for r in forward_fill(df, "v", "o", "f", chunk_rows=100).collect()}
+    assert got == {i * 1_000_000 + 17: (str((i - 5) // 300 * 300 + 5) if i >= 5 else None) for i in range(1000)}

@@ -10,6 +10,7 @@ from larder.operators.quality import null_profile, row_counts
 from larder.operators.rank import result_cap
 from larder.operators.star import Star
 from larder.operators.terms import resolve_terms, resolve_totals
+from larder.sources.grid import read_grid
 from larder.plans import food
 from larder.sources.grid import read_grid
 from larder.sources.tables import catalog_table, session_catalog
@@ -265,3 +266,20 @@ def test_group_without_name_drops_its_items(spark, star):
     groups = group_dim(longs, "table")
     assert [r.item_id for r in item_dim(longs, groups, "table").collect()] == [1]
     assert isinstance(star, Star)
+
+
+def test_rows_of_several_files_have_numbers_of_their_own(spark, tmp_path):
+    for name, rows in (("b.csv", ["3,c", "4,d"]), ("a.csv", ["1,a", "2,b"])):
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    rows = read_grid(spark, str(tmp_path), 2).orderBy("row_idx").collect()
+    assert [r.c0 for r in rows] == ["1", "2", "3", "4"] and len({r.row_idx for r in rows}) == 4
+
+
+def test_unnamed_group_and_states(spark):
+    from larder.functions.numbers import value_state
+    from larder.operators.star import group_dim
+
+    longs = spark.createDataFrame([("b",), (None,), ("a",)], "item_group string")
+    assert {r.group_name: r.group_id for r in group_dim(longs, "t").collect()} == {"a": 1, "b": 2, None: 3}
+    cells = spark.createDataFrame([(-3.0,), (0.0,), (float("nan"),), (None,)], "v double")
+    assert [r.s for r in cells.select(value_state("v").alias("s")).collect()] == ["present", "zero", "missing", "missing"]

@@ -137,3 +137,29 @@ def test_retry_after(spark):
     ]
     assert values(spark, cells, replies.retry_after_seconds) == [8.412, 27 * 60 + 23.328, 3723.5, 7200.0, None, None, None]
     assert values(spark, ["HTTP 429", "Rate Limit reached", "boom"], replies.rate_limited) == [True, True, False]
+
+
+def test_long_literals_and_comments_do_not_need_a_stack(spark):
+    from larder.functions import replies
+
+    long = "x''y " * 40_000
+    cells = [(0, f"SELECT '{long}' AS a FROM t"), (1, f"SELECT a /* {'* / ' * 50_000} */ FROM t"), (2, "SELECT a -- " + "z" * 200_000)]
+    df = spark.createDataFrame(cells, "k int, sql string").withColumn("code", replies.code_only("sql"))
+    got = {r.k: " ".join(r.code.split()) for r in df.collect()}
+    assert len(got[0]) < 300_000 and got[0].startswith("select '") and got[0].endswith("as a from t")
+    assert (got[1], got[2]) == ("select a from t", "select a")
+
+
+def test_names_with_schema_and_quotes(spark):
+    from larder.operators.sqlaudit import axis_verdicts
+
+    catalog = {"orders": ["o_orderkey"], "customer": ["c_name"]}
+    cells = [
+        (0, 'SELECT "c_name" FROM db.orders JOIN a . b."customer" c ON o_orderkey = c.c_name'),
+        (1, "WITH d AS (DELETE FROM orders RETURNING *) SELECT * FROM d"),
+        (2, "SELECT x FROM db.nothing"),
+    ]
+    rows = {r.stmt_id: r for r in axis_verdicts(spark.createDataFrame(cells, "stmt_id int, sql string"), catalog).collect()}
+    assert (rows[0].schema, rows[0].unknown_names) == ("ok", None)
+    assert rows[1].seguranca == "escrita: delete"
+    assert (rows[2].schema, rows[2].unknown_names) == ("alucinou", "nothing, x")
