@@ -31,6 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Ranges of a file less than GAP bytes apart are read in one request of at most MOST bytes;
 #: a task reads records of whole stretches of STRETCH bytes.
 GAP, MOST, STRETCH = 64 << 10, 8 << 20, 16 << 20
+#: Bytes that a task reads at most on average.
+TASK_BYTES = 128 << 20
 
 INDEX = (
     "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -45,7 +47,13 @@ def typed_records(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     Who revisits whom is found on rows without payloads; the payloads are shuffled once, by page_id.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumns({"payload_digest": F.sha2("html", 256), "payload_bytes": F.octet_length("html").cast("long")})
+    rows = rows.withColumns(
+        {
+            "payload_digest": F.sha2("html", 256),
+            "payload_bytes": F.octet_length("html").cast("long"),
+            "_key": F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+        }
+    )
     shared = (
         rows.where(F.col("payload_bytes") >= least)
         .groupBy("payload_digest")
@@ -53,11 +61,12 @@ def typed_records(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
         .where("_n > 1")
         .select(F.col("payload_digest").alias("_digest"), "_first")
     )
-    ids = rows.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    groups = ids.join(shared, F.col("payload_digest") == F.col("_digest")).groupBy("page_id", "payload_digest").agg(F.first("_first").alias("_first"))
-    groups = groups.select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), "_first", F.lit(True).alias("_shared"))
-    joined = rows.join(groups, rows["page_id"].eqNullSafe(groups["_page"]) & (rows["payload_digest"] == groups["_digest"]), "left")
-    copy = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("url"))
+    ids = rows.where(F.col("payload_bytes") >= least).select("_key", "payload_digest")
+    groups = ids.join(shared, F.col("payload_digest") == F.col("_digest")).groupBy("_key", "payload_digest").agg(F.first("_first").alias("_first"))
+    groups = groups.withColumn("_shared", F.lit(True))
+    # The join and the window deal rows out alike, so payloads move once.
+    joined = rows.join(groups, ["_key", "payload_digest"], "left")
+    copy = F.row_number().over(Window.partitionBy("_key", "payload_digest").orderBy("url"))
     revisits = F.col("_shared").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("_first")) | (copy > 1))
     return joined.withColumn("_revisits", revisits).select(
         "page_id",
@@ -189,5 +198,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                 yield _arrow(RECORDS, [parse_record(data[o - start : o - start + n]) for _, o, n in places[at:until]])
                 at = until
 
-    places = index.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / STRETCH))
+    # Index rows are small, what they name is not: the number of tasks follows the bytes to be read.
+    bytes_read = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bytes_read // TASK_BYTES))
+    places = index.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / STRETCH))
     return places.sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
