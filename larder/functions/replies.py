@@ -38,9 +38,11 @@ LITERAL_OR_COMMENT = r"(')[^']*+'|--[^\n]*+|/\*(?s:.*?)\*/"
 QUOTED_NAME = r"\"([a-z_]\w*+)\""
 
 # Possessive, so that a word that does not fit is left at once.
+# What follows a table name is no alias if the statement goes on there.
+NO_WORD = r"(?!(?:join|inner|left|right|full|outer|cross|on|using|where|group|order|having|limit|union)\b)"
 SCHEMA = r"(?:[a-z_]\w*+\s*+\.\s*+)*+"
 TABLE_REF = r"\b(?:from|join)\s++" + SCHEMA + r"([a-z_]\w*+)"
-TABLE_ALIAS = r"\b(?:from|join)\s++" + SCHEMA + r"[a-z_]\w*+\s++(?:as\s++)?([a-z_]\w*+)"
+TABLE_ALIAS = r"\b(?:from|join)\s++" + SCHEMA + r"[a-z_]\w*+\s++(?:as\s++)?" + NO_WORD + r"([a-z_]\w*+)"
 NAMED_QUERY = r"(?:\bwith\s++(?:recursive\s++)?|,\s*+)([a-z_]\w*+)\s++as\s*+\("
 GIVEN_NAME = r"\b(?:from|join|as)\s++" + SCHEMA + r"([a-z_]\w*+)"
 CALL_NAME = r"\b[a-z_]\w*+\s*+\("
