@@ -12,34 +12,37 @@ on the curve are ordered by doc_id, then by where the row was read. Other column
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from larder.llm.components import _kept
-from larder.llm.vocabularies import path_of
+from larder.llm.vocabularies import joined_ids, packed, path_of
 
 LENGTH, END = 2048, 1
 #: Hashed dimensions, dimensions of the curve, bits of each.
 HASHED, DIMS, BITS = 256, 4, 12
 #: Words a worker remembers with their ids; characters and words it hands to the tokenizer at once.
-REMEMBERED, BATCH_CHARS, BATCH_WORDS = 1 << 20, 1 << 22, 4096
-# White space as Unicode has it; str.split() also splits at four control characters.
+REMEMBERED, BATCH_CHARS, BATCH_WORDS, TOGETHER = 500_000, 5_000_000, 4096, 256
+# White space as Unicode has it; Arrow also splits at four control characters.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f]")
+#: Marks that end words and are no part of a contraction.
+STOPS = ".,;:!?|*#%&$"
 
 
 class WordTokenizer:
     """Ids of texts under a tokenizer that drops white space and joins nothing across it.
 
     Under such a tokenizer the ids of a text are those of its words one after the other, so a word that was
-    seen is not tokenized again. Tokenizers with other normal forms are asked for whole texts.
+    seen is not tokenized again. Tokenizers that keep case, or join marks to letters, are asked for whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,30 +50,93 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
         self.by_word = self._splits()
+        self.lean = self._lean() if self.by_word else None
 
     def _splits(self) -> bool:
-        a, b = "été It's 3km", "№２ don't!"
+        a, b = "Été It's 3km", "№２ don't!"
         whole = [self.tokenizer.encode(a + s + b, add_special_tokens=False).ids for s in (" ", "\n\t", "\u3000")]
         parts = [i for w in (*a.split(" "), *b.split(" ")) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
-        return all(ids == parts for ids in whole)
+        lower = self.tokenizer.encode(a.lower(), add_special_tokens=False).ids == self.tokenizer.encode(a, add_special_tokens=False).ids
+        marks = ["It", "3"], [".", "?!", "|,"]
+        apart = all(self._raw(w + m) == self._raw(w) + self._raw(m) for w in marks[0] for m in marks[1])
+        return lower and apart and all(ids == parts for ids in whole)
+
+    def _lean(self) -> Tokenizer | None:
+        """The same model without the patterns that lower-case words of letters pass unchanged.
+
+        None if the vocabulary does not mark the ends of words or the words of a sample come out otherwise.
+        """
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        lean = Tokenizer(self.tokenizer.model)
+        lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        sample = "the été straße ñandú àéîõü þæð ÿ µ º internationalization zzz x"
+        return lean if lean.encode(sample, add_special_tokens=False).ids == self._raw(sample) else None
+
+    def _raw(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            return [self._ids(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for some in words for w in some}.difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list({w for some in words for w in some})
-        for at in range(0, len(new), BATCH_WORDS):
-            some = new[at : at + BATCH_WORDS]
-            self.words.update(zip(some, map(self._ids, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.words.__getitem__, some)) for some in words]
+            return [packed(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [t for t in texts if not _OTHER_SPACE.search(t)]
+        coded = iter(self._by_word(plain))
+        return [b"".join(self._ids(_SPACE.split(t))) if _OTHER_SPACE.search(t) else next(coded) for t in texts]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, looked up or made."""
+        known = self.words
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = list(map(known.get, words))
+        if None in found:
+            self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def _by_word(self, texts: list[str]) -> list[bytes]:
+        """Texts are split and their distinct words found by Arrow; ids are put together by place."""
+        words = pc.utf8_split_whitespace(pa.array(list(map(self._lower, texts)), pa.large_string()))
+        return joined_ids(words, self._ids)
+
+    def _learn(self, new: set[str]) -> None:
+        """Add words; a word and the marks behind it are tokenized apart, words of letters many at a time."""
+        cut, bare = {}, set()
+        for w in new:
+            n = len(w.rstrip(STOPS))
+            if 0 < n < len(w) and w[n - 1].isalnum():
+                cut[w] = n
+                bare.update((w[:n], w[n:]))
+            else:
+                bare.add(w)
+        bare.difference_update(self.words)
+        letters = [w for w in bare if w.isalpha() and w == w.lower() and (w.isascii() or max(w) <= "\u00ff")] if self.lean else []
+        for at in range(0, len(letters), TOGETHER):
+            some = letters[at : at + TOGETHER]
+            ids = packed(self.lean.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0])
+            last = (np.nonzero(self.ends[np.frombuffer(ids, "<u4")])[0] * 4 + 4).tolist()
+            if len(last) == len(some):
+                self.words.update(zip(some, [ids[i:j] for i, j in zip([0, *last], last, strict=False)], strict=True))
+        rest = list(bare.difference(self.words))
+        for at in range(0, len(rest), BATCH_WORDS):
+            some = rest[at : at + BATCH_WORDS]
+            self.words.update(zip(some, map(packed, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        for word, n in cut.items():
+            self.words[word] = self.words[word[:n]] + self.words[word[n:]]
 
     @staticmethod
-    def _ids(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+    def _lower(text: str) -> str:
+        """Latin-1 texts in lower case, as the tokenizer's own lower-casing has them; others as they are."""
+        try:
+            text.encode("latin-1")
+            return text.lower()
+        except UnicodeEncodeError:
+            return text
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +144,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def batches_of(texts: list[str]) -> Iterator[list[str]]:
+def batches_of(texts: Iterable[str]) -> Iterator[list[str]]:
     """Consecutive texts, up to a number of characters together."""
     some, size = [], 0
     for text in texts:
@@ -146,9 +212,8 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         tokenizer, row = word_tokenizer(path), TaskContext.get().partitionId() << 33
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0), [t.as_py() or "" for t in batch.column(1)]
-            at = 0
-            for some in batches_of(texts):
+            doc_ids, at = batch.column(0), 0
+            for some in batches_of(t.as_py() or "" for t in batch.column(1)):
                 coded = tokenizer.encode(some)
                 keys = hilbert_key(np.array([cell_of(np.frombuffer(c, "<u4")) for c in coded]))
                 n = len(coded)
