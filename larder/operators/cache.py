@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import normalize_question
@@ -30,7 +30,7 @@ def cache_lookup(questions: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def fold_batch(batch: DataFrame) -> DataFrame:
+def fold_batch(batch: DataFrame, *more: Column) -> DataFrame:
     """What a batch of store calls (question_key, question, sql, result, response, at, seq) leaves per
     key: the last SQL and result, the last response that is not NULL, the first raw text.
 
@@ -44,9 +44,16 @@ def fold_batch(batch: DataFrame) -> DataFrame:
         F.max_by("response", F.when(F.col("response").isNotNull(), when)).alias("response"),
         F.min("at").alias("created_at"),
         F.max("at").alias("updated_at"),
+        *more,
     )
 
 
+def cache_of(calls: DataFrame) -> DataFrame:
+    """Cache that a first batch of calls leaves, each call counted as a hit: one aggregate, no join."""
+    counted = fold_batch(calls, F.count("*").alias("hits"))
+    return counted.select("question_key", "question_raw", "sql", "result_snapshot", "response", "hits", "created_at", "updated_at")
+
+
 def cache_upsert(cache: DataFrame, batch: DataFrame) -> DataFrame:
     """Cache after a batch: SQL, result and time replaced, a response only by a response; raw text,
     creation time and hits stay."""

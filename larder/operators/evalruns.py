@@ -90,6 +90,11 @@ def rescore(details: DataFrame, questions: DataFrame, verdicts: DataFrame) -> Da
     """
     rows = details.select("run_at", "id", "sql").join(questions.select("id", "difficulty", "expects_refusal"), "id")
     rows = rows.join(verdicts, ["run_at", "id"], "left")
+    return with_status(rows).select("run_at", "id", "difficulty", F.col("rescored_status").alias("status"))
+
+
+def with_status(rows: DataFrame) -> DataFrame:
+    """Adds ``rescored_status`` to answers that carry expects_refusal and their own verdict."""
 
     def no(c: str) -> Column:
         return ~F.coalesce(c, F.lit(False))
@@ -102,7 +107,7 @@ def rescore(details: DataFrame, questions: DataFrame, verdicts: DataFrame) -> Da
         .when(no("matches"), "fail")
         .otherwise("pass")
     )
-    return rows.select("run_at", "id", "difficulty", status.alias("status"))
+    return rows.withColumn("rescored_status", status)
 
 
 def scored_accuracy(scored: DataFrame) -> DataFrame:
@@ -114,6 +119,19 @@ def scored_accuracy(scored: DataFrame) -> DataFrame:
     return counts.withColumn("rescored", ratio(F.col("hits"), F.col("evaluated")))
 
 
+def run_summary_of(rows: DataFrame) -> DataFrame:
+    """Reported and re-scored accuracy in one aggregate, from details that carry ``rescored_status``."""
+    asked = ~F.coalesce("skipped", F.lit(False))
+    counts = rows.groupBy("run_at").agg(
+        F.count_if(F.col("rescored_status").isin(*EVALUATED)).alias("evaluated"),
+        F.count_if(F.col("rescored_status") == "pass").alias("hits"),
+        F.count_if(asked & F.col("passed")).alias("_passed"),
+        F.count_if(asked).alias("_total"),
+    )
+    rescored, reported = ratio(F.col("hits"), F.col("evaluated")), ratio(F.col("_passed"), F.col("_total"))
+    return counts.select("run_at", "evaluated", "hits", rescored.alias("rescored"), reported.alias("reported"))
+
+
 def run_summary(details: DataFrame, scored: DataFrame) -> DataFrame:
     """Reported accuracy next to the re-scored one."""
     reported = accuracy(details).select("run_at", F.col("accuracy").alias("reported"))

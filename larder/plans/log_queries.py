@@ -18,10 +18,10 @@ from larder.functions.replies import (
 from larder.functions.text import REFUSAL_WORDS, day_label, file_stamp, minute_label, refuses
 from larder.operators import evalruns
 from larder.operators.cache import (
-    CACHE_SCHEMA,
     cache_eligible,
     cache_hits,
     cache_lookup,
+    cache_of,
     cache_stats,
     cache_upsert,
     valid_reuse,
@@ -298,8 +298,8 @@ def _details(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("skipped_rate_limit")
     )
     schema = F.when(F.col("value") < 2, "n/a").when(F.col("k") < 20, "alucinou").otherwise("ok")
-    return last.join(_questions(spark, sf).select("id", "difficulty"), "id").select(
-        "run_at", "id", "difficulty", "k", "value",
+    return last.join(_questions(spark, sf).select("id", "difficulty", "expects_refusal"), "id").select(
+        "run_at", "id", "difficulty", "expects_refusal", "k", "value",
         kind.alias("reason"),
         status.alias("status"),
         kind.isin("view", "purchase").alias("passed"),
@@ -321,16 +321,20 @@ def _questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Details that carry their own verdicts, so nothing is joined to score them again."""
+    ran = F.col("sql").isNotNull()
+    verdicts = {
+        "executes": F.when(ran, F.col("status") != "sql_error"),
+        "has_gold": F.when(ran, F.col("k") >= 10),
+        "matches": F.when(ran, F.col("value") > 10),
+        "refuses": F.when(ran, F.col("value") > 30),
+    }
+    return evalruns.with_status(_details(spark, sf).withColumns(verdicts))
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    details = _details(spark, sf)
-    verdicts = details.filter(F.col("sql").isNotNull()).select(
-        "run_at", "id",
-        (F.col("status") != "sql_error").alias("executes"),
-        (F.col("k") >= 10).alias("has_gold"),
-        (F.col("value") > 10).alias("matches"),
-        (F.col("value") > 30).alias("refuses"),
-    )
-    return evalruns.rescore(details, _questions(spark, sf), verdicts)
+    return _judged(spark, sf).select("run_at", "id", "difficulty", F.col("rescored_status").alias("status"))
 
 
 _ACCURACY_SQL = """COUNT(CASE WHEN passed THEN 1 END) AS passed, COUNT(*) AS total,
@@ -392,7 +396,7 @@ def q_rescore(spark, sf):
     FROM s LEFT JOIN a USING (run_at)""",
 )
 def q_run_summary(spark, sf):
-    return evalruns.run_summary(_details(spark, sf), _scored(spark, sf))
+    return evalruns.run_summary_of(_judged(spark, sf))
 
 
 # Answers to one question per nation (its customers with balances) in three runs: the second leaves out
@@ -869,9 +873,7 @@ def _calls(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cache(spark: SparkSession, sf: str) -> DataFrame:
     """The first half of the month in an empty cache, each call counted as a hit."""
-    early = _calls(spark, sf).filter("early")
-    empty = spark.createDataFrame([], CACHE_SCHEMA)
-    return cache_hits(cache_upsert(empty, early), early)
+    return cache_of(_calls(spark, sf).filter("early"))
 
 
 def _late(spark: SparkSession, sf: str) -> DataFrame:
