@@ -15,9 +15,7 @@ TOXIC_FROM = 0.3
 @register("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled_id"), "toxic")
-    to_learn = labels.where(fold(F.col("labelled_id"), 4) != 2).groupBy("labelled_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.join(to_learn, F.col("doc_id") == F.col("labelled_id"))
-    model = train(docs, labelled)
+    labels = read(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 4) != 2)
+    model = train(docs, labels)
     scored = docs.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))

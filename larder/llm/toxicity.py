@@ -6,10 +6,11 @@ letter may be dropped. The best path under a trigram model of characters (Viterb
 character model is counted over the whole corpus. Words without a disguise have one path and stay as they are.
 
 A word's features are the word and its first four and five letters, hashed. How many toxic and other labelled
-rows hold a feature is counted over all rows to learn from; features that lean to toxic rows beyond chance
+rows hold a feature is counted over the rows to learn from, a bounded sample of the labelled ones (`LEARNED`,
+drawn by hash of doc_id), so that their ids can be sent to the texts and no text is shuffled; features that lean to toxic rows beyond chance
 (G-test) get their log odds as weight. A word weighs as much as its heaviest feature, and a logistic curve
-over the heaviest word and the capped sum, fitted on a bounded sample of labelled rows (`SAMPLE`) that were
-kept out of the counts, turns weights into a score.
+over the heaviest word and the capped sum, fitted on a fifth of these rows that was kept out of the counts,
+turns weights into a score.
 
 Null and empty texts score as a text without evidence. Without labelled rows of both kinds every score is the
 share of toxic rows (0 if none). Repeated rows score alike, extra columns are ignored.
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 #: Classes of characters: 0 for all that is no letter of the Latin alphabet, then a to z.
 CLASSES = 27
 FEATURES = 1 << 20
-#: Rows that the logistic curve is fitted on, every KEPT_OUT-th labelled row at most.
-SAMPLE, KEPT_OUT = 20_000, 5
+#: Labelled rows to learn from (about), and of these the share that the logistic curve is fitted on.
+LEARNED, KEPT_OUT = 50_000, 5
 #: Least G statistic and rows of a feature; most that all words of a text add up to.
 G_LEAST, ROWS_LEAST, CAP = 20.0, 3, 20.0
 #: Words a worker remembers.
@@ -252,25 +253,45 @@ def _counted(rows: DataFrame, characters: list[float]) -> dict[int, tuple[int, i
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps, with a little ridge."""
+    """Logistic regression with a ridge: Newton steps, halved until the loss falls.
+
+    The ridge keeps the curve finite where evidence parts the rows without a mistake.
+    """
     if not len(y):
         return (-30.0, 0.0, 0.0)
-    x, w = np.column_stack((np.ones(len(x)), x)), np.zeros(3)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(3)
-        w = w + np.clip(np.linalg.solve(hessian, x.T @ (y - p) - 1e-3 * w), -2, 2)
-    return tuple(w.tolist())
+    x, w = np.column_stack((np.ones(len(x)), x / CAP)), np.zeros(3)
+    ridge = np.array([1e-6, 0.005, 0.005])
 
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + 0.5 * (ridge * w * w).sum())
 
-def train(docs: DataFrame, labelled: DataFrame) -> Model:
-    """Model from the texts of all documents (doc_id, text) and labelled rows (doc_id, text, toxic)."""
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (y - p) - ridge * w
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge) + 1e-9 * np.eye(3), slope)
+        scale, before = 1.0, loss(w)
+        while scale > 1e-6 and loss(w + scale * step) > before:
+            scale /= 2
+        w = w + scale * step if scale > 1e-6 else w
+        if np.abs(scale * step).max() < 1e-6 or scale <= 1e-6:
+            break
+    return (float(w[0]), float(w[1] / CAP), float(w[2] / CAP))
+
+
+def train(docs: DataFrame, labels: DataFrame, learned: int = LEARNED) -> Model:
+    """Model from the texts of all documents (doc_id, text) and labels (doc_id, toxic) to learn from.
+
+    A doc_id with several labels is toxic if one of them says so. About `learned` labels are drawn; their ids
+    are broadcast to the texts, a table whose size this parameter bounds.
+    """
     characters = character_model(docs)
-    known = labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where("toxic in (0, 1) and doc_id is not null")
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    rows = known.count()
-    bound = int(min(1 / KEPT_OUT, SAMPLE / max(1, rows)) * (1 << 31))
+    given = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null")
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 31))
+    share = int(min(1.0, learned / max(1, given.count())) * (1 << 31))
+    drawn = given.where(place < share).groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    known = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    draw, bound = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31)), (1 << 31) // KEPT_OUT
     weights = _counted(known.where(draw >= bound), characters)
     model = Model(characters, weights, (0.0, 0.0, 0.0))
 

@@ -31,8 +31,8 @@ def model(spark):
         if toxic:
             words.insert(rng.randrange(len(words)), rng.choice(BAD))
         docs.append((i, " ".join(words)))
-        labels.append((i, docs[-1][1], toxic))
-    return tx.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, text string, toxic int"))
+        labels.append((i, toxic))
+    return tx.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
 
 
 def test_restores_and_scores(model):
@@ -69,7 +69,20 @@ def test_odd_rows(odd, none, model):
     assert len(rows) == len(ODD) and all(0 <= r.s <= 1 for r in rows)
     assert all((r.text is None) == (r.r is None) for r in rows)
     assert none.select(tx.score(F.col("text"), model)).count() == 0
-    nothing = tx.train(odd, none.select("doc_id", "text", F.lit(1).alias("toxic")))
+    nothing = tx.train(odd, none.select("doc_id", F.lit(1).alias("toxic")))
     assert all(r.s < 0.01 for r in odd.select(tx.score(F.col("text"), nothing).alias("s")).collect())
-    untaught = tx.train(none, odd.select("doc_id", "text", F.lit(None).cast("int").alias("toxic")))
+    untaught = tx.train(none, odd.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert untaught.score("anything") < 0.01
+
+
+def test_curve_rises_where_evidence_parts_the_rows():
+    import numpy as np
+
+    for heavy in (2.0, 5.0, 20.0):
+        x = np.array([(0.0, 0.0)] * 900 + [(heavy, heavy)] * 100)
+        y = np.array([0.0] * 900 + [1.0] * 100)
+        bias, a, b = tx._curve(x, y)
+        scores = 1 / (1 + np.exp(-(bias + x @ [a, b])))
+        assert scores[0] < 0.05 and scores[-1] > 0.9
+    bias, a, b = tx._curve(np.zeros((10, 2)), np.array([0.0] * 9 + [1.0]))
+    assert abs(1 / (1 + np.exp(-bias)) - 0.1) < 0.01
