@@ -141,10 +141,11 @@ def predict(text: Column, model: Model) -> Column:
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
     def run(texts: pa.Array) -> pa.Array:
-        rows = model.predict(texts.to_pylist())
+        rows = [row for at in range(0, len(texts), TEXTS) for row in model.predict(texts.slice(at, TEXTS).to_pylist())]
         return pa.array([{"lang_pred": lang, "score": score, "ambiguous": close} for lang, score, close in rows], kind)
 
-    return F.arrow_udf(run, PREDICTION)(text)
+    # Marked so that a filter on the prediction does not make it a second time.
+    return F.arrow_udf(run, PREDICTION).asNondeterministic()(text)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
