@@ -230,6 +230,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     classes = distinct.join(groups, F.col("fp") == F.col("_fp"), "left").select(
         F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first_id").alias("component_id")
     )
+    # Kept, so that both sides of the join come straight from an exchange and a hot fingerprint can be split.
+    classes = _kept(classes, "classes")
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
