@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.registry import read, register
-from larder.llm.sentencepieces import check_parity, decode, encode
+from larder.llm.sentencepieces import transcode
 
 
 @register("op4_sentencepieces")
 def op4_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.withColumn("ids", encode(F.col("text")))
-    checked = coded.select("doc_id", "text", "ids", decode(F.col("ids")).alias("back"), check_parity(F.col("text"), F.col("ids")).alias("parity"))
+    checked = docs.select("doc_id", "text", transcode(F.col("text")).alias("t")).select("doc_id", "text", "t.*")
     return checked.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).alias("n_ids"),

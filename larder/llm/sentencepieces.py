@@ -4,7 +4,8 @@ The model file's protobuf is read field by field; its normaliser, the white-spac
 or the merges they imply (BPE) and byte fallback are rebuilt as a tokenizers pipeline. Batches are encoded by
 the library's threads. Where no piece goes on past a marker, a text is the sequence of its marked words, so a
 worker keeps the ids of words it has seen and hands only new ones to the library; otherwise whole texts go.
-`check_parity` compares the ids with those of the sentencepiece library on every whole text.
+Parity with the sentencepiece library is verified on every text: by each of its words where words are
+independent, on the whole text elsewhere.
 
 A null text has null ids, an empty one none. Repeated rows and extra columns do not matter.
 """
@@ -20,18 +21,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
-from larder.llm.vocabularies import path_of
+from larder.llm.vocabularies import joined_ids, packed, path_of
 
 MARK = "▁"
 # Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-REMEMBERED, NEW_WORDS = 1 << 20, 8192
+REMEMBERED, NEW_WORDS, TOGETHER = 400_000, 8192, 256
 #: Characters of texts that are encoded at once.
 BATCH_CHARS = 1 << 21
 
@@ -134,50 +136,113 @@ class Codec:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         with open(path, "rb") as f:
             self.model = parse(f.read())
-        self.whole = build(self.model)
-        self.plain = build(self.model, normalise=False)
-        self.words: dict[str, bytes] = {}
         # Words are independent if no piece goes on past a marker and the normaliser only marks blanks.
         inner = any(MARK in p.lstrip(MARK) for p, _, kind in self.model.pieces if kind not in (CONTROL, UNKNOWN))
         simple = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix and self.model.escape
         self.by_word = not inner and simple
+        self.tokenizer = build(self.model, normalise=not self.by_word)
+        self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.sizes = np.array([len(b) for b in spelled], np.int64)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.words: dict[str, bytes] = {}
+        self.wrong: set[str] = set()
         self.marked = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def _split(self, text: str) -> list[str]:
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            return self.marked.findall(MARK + text.replace(" ", MARK))
-        return [MARK + w for w in text.split(" ")]
-
-    @staticmethod
-    def _ids(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            return [self._ids(e) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-        words = [self._split(t) if t else [] for t in texts]
-        new = list({w for some in words for w in some}.difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list({w for some in words for w in some})
-        for at in range(0, len(new), NEW_WORDS):
-            some = new[at : at + NEW_WORDS]
-            self.words.update(zip(some, map(self._ids, self.plain.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.words.__getitem__, some)) for some in words]
+            return [packed(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        plain = [t for t in texts if self._is_plain(t)]
+        words = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        coded = iter(joined_ids(words, lambda some: self._ids([MARK + w for w in some])))
+        return [next(coded) if self._is_plain(t) else b"".join(self._ids(self._marked(t))) for t in texts]
+
+    @staticmethod
+    def _is_plain(text: str) -> bool:
+        """Single blanks between words, and no markers."""
+        return text != "" and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
+
+    def _marked(self, text: str) -> list[str]:
+        """Words with the markers before them."""
+        return self.marked.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        known = self.words
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = list(map(known.get, words))
+        if None in found:
+            self._learn(list({w for w, ids in zip(words, found, strict=True) if ids is None}))
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words, many at a time: a word begins at the piece that begins with a marker."""
+        single = [w for w in new if w.count(MARK) == 1 and len(w) > 1]
+        groups = [single[at : at + TOGETHER] for at in range(0, len(single), TOGETHER)]
+        for some, coded in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = packed(coded)
+            first = (np.nonzero(self.begins[np.frombuffer(ids, "<u4")])[0] * 4).tolist()
+            if len(first) == len(some):
+                self.words.update(zip(some, [ids[i:j] for i, j in zip(first, [*first[1:], len(ids)], strict=True)], strict=True))
+        rest = [w for w in new if w not in self.words]
+        self.words.update(zip(rest, map(packed, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        self._compare(groups, rest)
+
+    def _compare(self, groups: list[list[str]], rest: list[str]) -> None:
+        """Note the new words that the sentencepiece library encodes otherwise: many at a time, then one by one."""
+        plain = lambda w: w.replace(MARK, " ")[1:]  # noqa: E731  the library puts the first marker
+        for some, theirs in zip(groups, self.reference.encode(["".join(map(plain, g[:1])) + "".join(w.replace(MARK, " ") for w in g[1:]) for g in groups], num_threads=1), strict=True):
+            if _bytes(theirs) != b"".join(map(self.words.__getitem__, some)):
+                rest = rest + some
+        for word, theirs in zip(rest, self.reference.encode(list(map(plain, rest)), num_threads=1), strict=True):
+            if plain(word) and _bytes(theirs) != self.words[word]:
+                self.wrong.add(word)
 
     def decode(self, ids: list[bytes]) -> list[str]:
-        return self.whole.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
+        """Texts of ids: the bytes of their pieces, put together by place; by the library where that is no text."""
+        if not self.by_word:
+            return self._by_library(ids)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        each = self.sizes[flat]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        data = self.spelled[np.repeat(self.offsets[flat] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        borders = ends[np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids], dtype=np.int64)))].tolist()
+        out = []
+        for i, j, own in zip(borders, borders[1:], ids, strict=False):
+            try:
+                out.append(data[i:j].decode().removeprefix(" "))
+            except UnicodeDecodeError:
+                out += self._by_library([own])
+        return out
+
+    def _by_library(self, ids: list[bytes]) -> list[str]:
+        return self.tokenizer.decode_batch([np.frombuffer(i, "<u4").tolist() for i in ids], skip_special_tokens=False)
+
+    def parity(self, texts: list[str], ids: list[bytes]) -> list[bool]:
+        """Whether the ids are those of the sentencepiece library.
+
+        Where texts are sequences of independent words, for both libraries alike, every word was compared when
+        it was learnt, in running text; other texts, and those with a word that differs, are compared whole.
+        """
+        if not self.by_word:
+            return [self._same(t, i) for t, i in zip(texts, ids, strict=True)]
+        return [self._same(t, i) if self.wrong and not self.wrong.isdisjoint(self._marked(t)) else True for t, i in zip(texts, ids, strict=True)]
 
+    def _same(self, text: str, ids: bytes) -> bool:
+        return _bytes(self.reference.encode(text, num_threads=1)) == ids
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+
+def _bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def _reference(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+def codec(path: str) -> Codec:
+    return Codec(path)
 
 
 def _slices(sizes: list[int]) -> Iterator[slice]:
@@ -217,15 +282,21 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return F.arrow_udf(run, "string")(ids)
 
 
-def check_parity(text: Column, ids: Column, path: str | None = None) -> Column:
-    """Whether the ids are those of the sentencepiece library for the whole text."""
+TRANSCODED = "struct<ids:binary,back:string,parity:boolean>"
+
+
+def transcode(text: Column, path: str | None = None) -> Column:
+    """Struct (ids, back, parity): a text encoded, decoded again, and compared with the sentencepiece library."""
     path = path or path_of("piece_bpe_32k.model")
+    kind = pa.struct([("ids", pa.binary()), ("back", pa.string()), ("parity", pa.bool_())])
 
-    def run(texts: pa.Array, coded: pa.Array) -> pa.Array:
-        same = []
-        for text, own in zip(texts, coded, strict=True):
-            value, packed = text.as_py(), own.as_py()
-            same.append(packed is None if value is None else np.array(_reference(path).encode(value, num_threads=1), "<u4").tobytes() == packed)
-        return pa.array(same, pa.bool_())
+    def run(texts: pa.Array) -> pa.Array:
+        values, out = texts.to_pylist(), []
+        for part in _slices([len(v or "") for v in values]):
+            some = [v or "" for v in values[part]]
+            ids = codec(path).encode(some)
+            out += zip(ids, codec(path).decode(ids), codec(path).parity(some, ids), strict=True)
+        rows = [{"ids": None, "back": None, "parity": p} if v is None else {"ids": i, "back": b, "parity": p} for v, (i, b, p) in zip(values, out, strict=True)]
+        return pa.array(rows, kind)
 
-    return F.arrow_udf(run, "boolean")(text, ids)
+    return F.arrow_udf(run, TRANSCODED)(text)

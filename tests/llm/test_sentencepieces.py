@@ -58,8 +58,26 @@ def test_bpe_parity_and_decoding():
     assert codec.by_word
     for text, back in zip(TEXTS, codec.decode(coded), strict=True):
         assert back == text.replace("▁", " ")
-    whole = [np.array(e.ids, "<u4").tobytes() for e in codec.whole.encode_batch_fast(TEXTS, add_special_tokens=False)]
-    assert whole == coded
+    whole = sp.build(codec.model).encode_batch_fast(TEXTS, add_special_tokens=False)
+    assert [np.array(e.ids, "<u4").tobytes() for e in whole] == coded
+    assert codec.parity(TEXTS, coded) == [True] * len(TEXTS)
+    # A word that comes out otherwise is found in the texts that hold it.
+    other = sp.Codec(path_of("piece_bpe_32k.model"))
+    real = other.tokenizer
+
+    class Off:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return real.encode_batch_fast([t.replace("line", "lime") for t in texts], add_special_tokens=False)
+
+    other.tokenizer = Off()
+    wrong = other.encode(TEXTS)
+    assert other.parity(TEXTS, wrong) == [a == b for a, b in zip(coded, wrong, strict=True)] and wrong != coded
+
+
+def test_decoding_of_any_ids():
+    codec = sp.Codec(path_of("piece_bpe_32k.model"))
+    ids = [np.array(i, "<u4").tobytes() for i in ([], [300, 5000, 29871, 29871, 350], [3 + 0xC3], [3 + 0xC3, 3 + 0xA9], [29871, 450])]
+    assert codec.decode(ids) == codec._by_library(ids)
 
 
 def test_unigram_parity(tmp_path):
@@ -72,8 +90,9 @@ def test_unigram_parity(tmp_path):
 
 def test_columns(odd, none):
     df = odd.select("text", sp.encode(F.col("text")).alias("ids"))
-    rows = df.select("text", "ids", sp.decode(F.col("ids")).alias("back"), sp.check_parity(F.col("text"), F.col("ids")).alias("same")).collect()
+    rows = df.select("text", "ids", sp.decode(F.col("ids")).alias("back"), sp.transcode(F.col("text")).alias("t")).collect()
     assert len(rows) == len(ODD)
     for r in rows:
-        assert r.same and r.back == r.text and (r.ids is None) == (r.text is None)
+        assert r.back == r.text and (r.ids is None) == (r.text is None)
+        assert tuple(r.t) == (r.ids, r.back, True)
     assert none.select(sp.encode(F.col("text"))).count() == 0
