@@ -216,14 +216,9 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.groupBy("shard", "h", "q").applyInArrow(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id): the group of each row over links of at most `radius` bits.
-
-    `root` is the smallest fingerprint of the group, component_id its smallest doc_id.
-    """
-    prints = _kept(fingerprints(docs, width), "simhash")
-    distinct = _kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, radius))
+def grouped(prints: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, fp) with root and component_id over links; distinct has (fp, first_id)."""
+    roots = components(links)
     linked = distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "first_id")
     least = linked.groupBy("root").agg(F.min("first_id").alias("least")).select(F.col("root").alias("_root"), "least")
     groups = linked.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "least")
@@ -235,14 +230,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id): the group of each row over links of at most `radius` bits.
+
+    `root` is the smallest fingerprint of the group, component_id its smallest doc_id.
+    """
+    prints = _kept(fingerprints(docs, width), "simhash")
+    distinct = _kept(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    return grouped(prints, distinct, links(distinct, radius))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: of each group the one with the smallest doc_id stays.
 
     Where rows share that id, the one with the smallest hash of its text stays, and one of equal rows.
     """
-    groups = near_duplicates(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    groups = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = groups.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))).alias("k"))
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id"), F.xxhash64("text").alias("_hash"))
     copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("_row")))
     stay = rows.join(kept.select("k._id", "k._hash").distinct(), ["_id", "_hash"], "left_semi").withColumn("_copy", copy).where("_copy = 1")
     return stay.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each group of `near_duplicates`."""
+    return first_of_each(docs, near_duplicates(docs, width, radius))
