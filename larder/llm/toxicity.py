@@ -110,8 +110,11 @@ def character_model(texts: DataFrame) -> list[float]:
 
 
 def decode(observed: str, model: list[float]) -> str:
-    """Best letters for a disguised stretch: Viterbi over (last two classes)."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """Best letters for a disguised stretch of any length: Viterbi over (last two classes).
+
+    A path is its last letter and the path before, so a step costs the same at any length.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     before = ""
     for sign in observed:
         if "a" <= sign <= "z":
@@ -125,7 +128,7 @@ def decode(observed: str, model: list[float]) -> str:
             options, drop = [(sign, 0.0)], None
         else:
             options, drop = [], 0.0
-        grown: dict[tuple[int, int], tuple[float, str]] = {}
+        grown: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, word) in paths.items():
             if drop is not None and (score + drop > grown.get((a, b), (-math.inf,))[0]):
                 grown[a, b] = (score + drop, word)
@@ -133,9 +136,19 @@ def decode(observed: str, model: list[float]) -> str:
                 c = ord(letter) - 96 if "a" <= letter <= "z" else 0
                 reached = score + cost + model[(a * CLASSES + b) * CLASSES + c]
                 if reached > grown.get((b, c), (-math.inf,))[0]:
-                    grown[b, c] = (reached, word + letter)
+                    grown[b, c] = (reached, (word, letter))
         paths, before = grown or paths, sign
-    return max((score + model[(a * CLASSES + b) * CLASSES], word) for (a, b), (score, word) in paths.items())[1]
+    ends = [(score + model[(a * CLASSES + b) * CLASSES], word) for (a, b), (score, word) in paths.items()]
+    most = max(score for score, _ in ends)
+    return max(_spelled(word) for score, word in ends if score == most)
+
+
+def _spelled(word: tuple) -> str:
+    letters = []
+    while word:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def restore_word(token: str, model: list[float]) -> tuple[str, bool]:
@@ -146,16 +159,16 @@ def restore_word(token: str, model: list[float]) -> tuple[str, bool]:
         core = re.sub(r"([$@!|+*])\1\1+$", "", core)
         signs = len(_HOLDS_SIGN.findall(core))
     letters = len(_LETTER.findall(core))
-    if signs and letters >= 1 and letters + signs >= 3 and 3 * signs <= 2 * (letters + signs) and len(core) <= 40:
+    if signs and letters >= 1 and letters + signs >= 3 and 3 * signs <= 2 * (letters + signs):
         return decode(core, model), True
-    if _THRICE.search(core) and len(core) <= 200:
+    if _THRICE.search(core):
         return decode(core, model), True
     return core, False
 
 
 def restore(text: str, model: list[float]) -> str:
     """The text with disguised stretches restored, in lower case."""
-    lower = _GAPS.sub(lambda m: decode(fold(m[0])[:4000], model), text.lower())
+    lower = _GAPS.sub(lambda m: decode(fold(m[0]), model), text.lower())
     return " ".join(restore_word(token, model)[0] for token in lower.split())
 
 
@@ -168,16 +181,16 @@ def _tokens(text: str, model: list[float]) -> set[str]:
     """Distinct tokens, gaps already closed; a closed one is marked by a leading blank."""
     lower = text.lower()
     if _GAPS.search(lower):
-        lower = _GAPS.sub(lambda m: " \x00" + decode(fold(m[0])[:4000], model) + " ", lower)
+        lower = _GAPS.sub(lambda m: " \x00" + decode(fold(m[0]), model) + " ", lower)
     return set(lower.split())
 
 
-def _parts(token: str, model: list[float]) -> list[str]:
-    """Words to look up for a token: a restored one may be glued to its neighbours."""
+def _parts(token: str, model: list[float]) -> Iterator[str]:
+    """Words to look up for a token: a restored one may be glued to its neighbours, so all its windows are."""
     word, undone = (token[1:], True) if token[:1] == "\x00" else restore_word(token, model)
-    if not undone:
-        return [word]
-    return [word, *(word[i : i + n] for n in range(4, 13) for i in range(min(len(word), 200) - n + 1))]
+    yield word
+    if undone:
+        yield from (word[i : i + n] for n in range(4, 13) for i in range(len(word) - n + 1))
 
 
 @dataclass

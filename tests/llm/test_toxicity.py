@@ -86,3 +86,15 @@ def test_curve_rises_where_evidence_parts_the_rows():
         assert scores[0] < 0.05 and scores[-1] > 0.9
     bias, a, b = tx._curve(np.zeros((10, 2)), np.array([0.0] * 9 + [1.0]))
     assert abs(1 / (1 + np.exp(-bias)) - 0.1) < 0.01
+
+
+def test_toxic_word_at_the_end_of_long_stretches(model):
+    rng = random.Random(4)
+    clean = "".join(rng.choices(CLEAN, k=1200))[:4990]
+    spaced = " ".join(clean + "nitwit")
+    assert len(spaced) > 9_900
+    assert tx.restore(spaced, model.characters).endswith("nitwit")
+    assert model.evidence(spaced)[0] > 0 and model.score(spaced) > 0.5
+    joined = "/".join([*rng.choices(CLEAN, k=60), "gr0mbl3", "n1tw1t"])
+    assert len(joined) > 200 and model.score(joined) > 0.5
+    assert tx.restore_word("i" * 250 + "diot", model.characters)[1]
