@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import AMINO, FATTY, FOODS
+from food_rows import AMINO, FATTY, FOODS
 from pyspark.sql import functions as F
 
 from larder.operators.clean import carry_forward_group, groups_in_order
@@ -10,7 +10,6 @@ from larder.operators.quality import null_profile, row_counts
 from larder.operators.rank import result_cap
 from larder.operators.star import Star
 from larder.operators.terms import resolve_terms, resolve_totals
-from larder.sources.grid import read_grid
 from larder.plans import food
 from larder.sources.grid import read_grid
 from larder.sources.tables import catalog_table, session_catalog
