@@ -1,7 +1,7 @@
 import hashlib
 
 import plain
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from larder.llm import fingerprints as fp

@@ -1,7 +1,7 @@
 import random
 
 import plain
-from conftest import ODD
+from odd_rows import ODD
 
 from larder.llm import linededup as ld
 

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import ODD
+from odd_rows import ODD
 from tokenizers import Tokenizer
 
 from larder.llm import packing

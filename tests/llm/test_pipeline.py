@@ -4,7 +4,7 @@ import corpus_pipeline
 import numpy as np
 import plain
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 
 from larder.llm import langid, secrets
 from larder.llm.vocabularies import path_of

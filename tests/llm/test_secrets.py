@@ -3,7 +3,7 @@ import string
 
 import plain
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from larder.llm import secrets

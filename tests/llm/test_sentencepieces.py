@@ -2,7 +2,7 @@ import struct
 
 import numpy as np
 import sentencepiece
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from larder.llm import sentencepieces as sp

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import plain
-from conftest import ODD
+from odd_rows import ODD
 
 from larder.llm import simhash as sh
 from larder.llm.components import components

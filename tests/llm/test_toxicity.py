@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import ODD
+from odd_rows import ODD
 from pyspark.sql import functions as F
 
 from larder.llm import toxicity as tx
