@@ -29,10 +29,8 @@ def whole(tool, text):
         return None
     ends_a, ends_b = np.cumsum([0, *map(len, spelt_a)]), np.cumsum([0, *map(len, spelt_b)])
     cuts = sorted(set(ends_a[1:].tolist()) & set(ends_b[1:].tolist()))
-    groups = ";".join(
-        ",".join(str(i) for i, e in zip(a, ends_a[1:], strict=True) if low < e <= high) + "|" + ",".join(str(i) for i, e in zip(b, ends_b[1:], strict=True) if low < e <= high)
-        for low, high in zip([0, *cuts], cuts, strict=False)
-    )
+    places = [(np.searchsorted(ends_a[1:], c, "right"), np.searchsorted(ends_b[1:], c, "right")) for c in [0, *cuts]]
+    groups = ";".join(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])) for (i, j), (k, m) in zip(places, places[1:], strict=False))
     links = [(a[x], b[y]) for x, y in zip(*np.nonzero((ends_a[:-1, None] < ends_b[None, 1:]) & (ends_b[None, :-1] < ends_a[1:, None])), strict=True)]
     return a, b, groups, links
 
