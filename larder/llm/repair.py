@@ -261,12 +261,14 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         run = []
         for row in zip(*columns, strict=True):
             if begun and row[0] != current:
-                yield run
+                if run:
+                    yield run
                 yield []
                 run = []
             current, begun = row[0], True
             run.append(row)
-        yield run
+        if run:
+            yield run
     if begun:
         yield []
 
