@@ -23,9 +23,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,13 +38,12 @@ from larder.llm.components import _kept
 from larder.llm.vocabularies import path_of
 
 BLOCK_CHARS = 1 << 21
-#: Pieces a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 200_000, 64
-#: Pieces that are learnt together at most, in characters.
-LEARN_CHARS = 1 << 20
+#: Characters of pieces that a worker remembers, pieces that are encoded in a row.
+REMEMBERED, TOGETHER = 1 << 20, 256
 SPACE = "▁"
 #: Where texts can be cut: at a blank before a visible character and behind anything but a blank.
 CUT = re.compile(r"(?<=[^ ]) (?=[\w!-~])")
+VISIBLE = re.compile(r"[\w!-~]")
 #: A blank that is no such place.
 UNCUT = re.compile(r"\A | (?:[^\w!-~]|\Z)")
 
@@ -79,9 +80,10 @@ def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for one in lists for i in one), np.int64, int(sizes.sum())), sizes
+def _gathered(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of stretches one behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 class Aligner:
@@ -92,79 +94,91 @@ class Aligner:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
-        self.bytes_a = [bytes(letters[c] for c in self.a.id_to_token(i)) if all(c in letters for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
+        tokens = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
+        self.bytes_a = [bytes(map(letters.__getitem__, t)) if all(c in letters for c in t) else t.encode() for t in tokens]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        inner = any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if not self.b.is_control(i) and not self.b.is_unknown(i))
-        if inner or not pieces:
+        if any(SPACE in p.lstrip(SPACE) for i, p in enumerate(pieces) if not self.b.is_control(i) and not self.b.is_unknown(i)):
             raise ValueError("pieces must not go on past a blank")
         self.sizes_a = np.array([len(b) for b in self.bytes_a], np.int64)
         self.sizes_b = np.array([len(b) for b in self.bytes_b], np.int64)
+        #: Ids in decimal digits, each with room for what comes behind it.
+        decimals = [f"{i} ".encode() for i in range(max(len(tokens), len(pieces)))]
+        self.decimal_sizes = np.array([len(d) for d in decimals], np.int64)
+        self.decimal_begins = np.cumsum(self.decimal_sizes) - self.decimal_sizes
+        self.decimals = np.frombuffer(b"".join(decimals), np.uint8)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        #: n_a, n_b, n_groups, valid of each piece; written groups; pairs of the links.
-        self.figures: list[tuple[int, int, int, bool]] = []
-        self.written: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        self.chars = 0
+        #: n_a, n_b, n_groups, n_links, valid of each piece; its written groups; where its links' pairs begin.
+        self.figures = np.empty((0, 5), np.int64)
+        self.written: list[bytes] = []
+        self.begins = np.empty(0, np.int64)
+        self.pairs = np.empty(0, np.int64)
+
+    def _spelt(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of a text, or none if they do not spell it."""
+        return self._all_spelt([text])[0]
+
+    def _all_spelt(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        out, name_a, name_b = [], self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        coded_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        for text, a, b in zip(texts, coded_a, self.b.encode(texts, num_threads=1), strict=True):
+            a, own = a.ids, (" " + text).encode()
+            out.append((a, b) if b"".join(map(name_a, a)) == own == b"".join(map(name_b, b)) else None)
+        return out
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode, group and link some new pieces at once."""
-        coded_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
-        coded_b = self.b.encode(pieces, num_threads=1)
-        valid = []
-        for piece, a, b in zip(pieces, coded_a, coded_b, strict=True):
-            own = b" " + piece.encode()
-            valid.append(b"".join(map(self.bytes_a.__getitem__, a)) == own and b"".join(map(self.bytes_b.__getitem__, b)) == own)
-        used_a = [a if v else [] for a, v in zip(coded_a, valid, strict=True)]
-        used_b = [b if v else [] for b, v in zip(coded_b, valid, strict=True)]
-        (ids_a, n_a), (ids_b, n_b) = _flat(used_a), _flat(used_b)
+        """Encode, group and link some new pieces at once; many are encoded in a row, with the blanks between them."""
+        plain = [p for p in pieces if VISIBLE.match(p) and p[-1] != " "]
+        rows = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        coded = self._all_spelt([" ".join(row) for row in rows])
+        single = [p for p in pieces if not VISIBLE.match(p) or p[-1] == " "] + [p for row, ids in zip(rows, coded, strict=True) if ids is None for p in row]
+        alone = self._all_spelt(single)
+        wrong = [p for p, ids in zip(single, alone, strict=True) if ids is None]
+        good = [p for row, ids in zip(rows, coded, strict=True) if ids for p in row] + [p for p, ids in zip(single, alone, strict=True) if ids]
+        found = [ids for ids in [*coded, *alone] if ids]
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(ids[side] for ids in found), np.int64) for side in (0, 1))
         ends_a, ends_b = np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b])
+        ends = np.cumsum(pc.binary_length(pa.array(good, pa.string())).to_numpy().astype(np.int64) + 1)
         group = terminals(ends_a, ends_b) - len(ids_a)
         group_a, group_b = group[: len(ids_a)], group[len(ids_a) :]
-        of_a, of_b = np.repeat(np.arange(len(pieces)), n_a), np.repeat(np.arange(len(pieces)), n_b)
+        last = np.flatnonzero(group_b == np.arange(len(ids_b)))  # a group ends with its terminal B token
         link_a, link_b = links_of(ends_a, ends_b)
-        pair = ids_a[link_a] << 32 | ids_b[link_b]
-        pairs = np.split(pair, np.searchsorted(of_b[link_b], np.arange(1, len(pieces))))
-        # A group is written where its terminal B token stands.
-        ends = np.flatnonzero(group_b == np.arange(len(ids_b)))
-        cut_a, cut_b = np.searchsorted(group_a, ends, "right").tolist(), np.searchsorted(group_b, ends, "right").tolist()
-        text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        groups, i, j = [], 0, 0
-        for to_a, to_b in zip(cut_a, cut_b, strict=True):
-            groups.append(",".join(text_a[i:to_a]) + "|" + ",".join(text_b[j:to_b]))
-            i, j = to_a, to_b
-        n_groups = np.bincount(of_b[ends], minlength=len(pieces)).tolist()
-        at = 0
-        for k, piece in enumerate(pieces):
-            self.known[piece] = len(self.figures)
-            self.figures.append((int(n_a[k]), int(n_b[k]), n_groups[k], valid[k]))
-            self.written.append(";".join(groups[at : at + n_groups[k]]))
-            self.pairs.append(pairs[k])
-            at += n_groups[k]
+        cuts = np.maximum(ends_a[link_a] - self.sizes_a[ids_a[link_a]], ends_b[link_b] - self.sizes_b[ids_b[link_b]])
+        of_links = np.searchsorted(cuts, ends)
+        upto = np.column_stack([np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right"), np.searchsorted(ends_b[last], ends, "right"), of_links])
+        figures = np.column_stack([np.diff(upto, axis=0, prepend=0), np.ones(len(good), np.int64)])
+        # Written: in each group the A ids, then the B ids.
+        at_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)
+        at_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+        ids, behind = np.empty(len(at_a) + len(at_b), np.int64), np.full(len(at_a) + len(at_b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = ids_a, ids_b
+        behind[at_a[np.searchsorted(group_a, last, "right") - 1]] = ord("|")
+        behind[at_b[last]] = ord(";")
+        sizes = self.decimal_sizes[ids]
+        letters, borders = self.decimals[_gathered(self.decimal_begins[ids], sizes)], np.cumsum(sizes)
+        letters[borders - 1] = behind
+        tokens = np.cumsum(figures[:, 0] + figures[:, 1])
+        written, borders = letters.tobytes(), np.concatenate(([0], borders))[np.concatenate(([0], tokens))].tolist()
+        self.known.update(zip(good, range(len(self.written), len(self.written) + len(good)), strict=True))
+        self.written += [written[i:j] for i, j in zip(borders, borders[1:], strict=False)]
+        self.begins = np.concatenate((self.begins, len(self.pairs) + of_links - figures[:, 3], np.zeros(len(wrong), np.int64)))
+        self.pairs = np.concatenate((self.pairs, ids_a[link_a] << 32 | ids_b[link_b]))
+        self.known.update(zip(wrong, range(len(self.written), len(self.written) + len(wrong)), strict=True))
+        self.written += [b""] * len(wrong)
+        self.figures = np.concatenate((self.figures, figures, np.zeros((len(wrong), 5), np.int64)))
+        self.chars += sum(map(len, pieces))
 
     def places(self, pieces: list[str]) -> np.ndarray:
-        """Places of pieces among what is known; new ones are learnt."""
+        """Places of different pieces among what is known; new ones are learnt."""
         found = list(map(self.known.get, pieces))
         if None in found:
-            some, chars = [], 0
-            for piece in {p for p, at in zip(pieces, found, strict=True) if at is None}:
-                some.append(piece)
-                chars += len(piece) + 1
-                if chars > LEARN_CHARS:
-                    self.learn(some)
-                    some, chars = [], 0
-            if some:
-                self.learn(some)
-            found = list(map(self.known.__getitem__, pieces))
-        return np.array(found, np.int64)
-
-    def whole(self, text: str) -> bool:
-        """Whether the tokens of the whole text spell it, should a piece of it not do so on its own."""
-        own = b" " + text.encode()
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text, num_threads=1)
-        return b"".join(map(self.bytes_a.__getitem__, a)) == own == b"".join(map(self.bytes_b.__getitem__, b))
+            self.learn([p for p, at in zip(pieces, found, strict=True) if at is None])
+            found = map(self.known.__getitem__, pieces)
+        return np.fromiter(found, np.int64, len(pieces))
 
 
 def pieces_of(text: str) -> list[str]:
@@ -205,42 +219,33 @@ def describe(tool: Aligner, block: int, doc_ids: pa.Array, texts: list[str | Non
     figures holds n_a, n_b, n_groups, n_links of each text; sizes and pieces its pieces, as places among those of the
     block; link_sizes and links the links of each of these, as places in pairs; counts how often the block has a pair.
     """
-    if len(tool.known) > REMEMBERED:
+    if tool.chars > REMEMBERED:
         tool.forget()
     parts = [pieces_of(t or "") for t in texts]
-    flat = [p for one in parts for p in one]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    coded = pa.array(flat, pa.large_string()).dictionary_encode()
+    coded = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
+    parts = None
     own = coded.dictionary.to_pylist()
     found = tool.places(own)
     at = coded.indices.to_numpy().astype(np.int64)
-    per = np.array([tool.figures[i] for i in found.tolist()], np.int64).reshape(-1, 4)
-    n_links = np.array([len(tool.pairs[i]) for i in found.tolist()], np.int64)
-    per = np.column_stack((per[:, :3], n_links, per[:, 3]))
+    per = tool.figures[found]
     ends = np.concatenate(([0], np.cumsum(sizes)))
     sums = np.concatenate((np.zeros((1, 5), np.int64), np.cumsum(per[at], axis=0)))
     totals = sums[ends[1:]] - sums[ends[:-1]]
-    written = [tool.written[i] for i in found.tolist()]
-    good, digests = np.zeros(len(parts), bool), []
-    for k, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        good[k] = i < j and totals[k, 4] == j - i
-        if i < j and not good[k] and tool.whole(texts[k]):
+    good = (sizes > 0) & (totals[:, 4] == sizes)
+    for k in np.flatnonzero((sizes > 0) & ~good).tolist():
+        if tool._spelt(texts[k]):
             raise ValueError("a text is spelt by its tokens, but not by those of its pieces")
-        digests.append(hashlib.sha256(";".join([written[p] for p in at[i:j].tolist()]).encode()).hexdigest() if good[k] else "")
+    written, digests = [tool.written[i] for i in found.tolist()], []
+    for i, j, has in zip(ends[:-1].tolist(), ends[1:].tolist(), good.tolist(), strict=True):
+        digests.append(hashlib.sha256(b"".join([written[p] for p in at[i:j].tolist()])[:-1]).hexdigest() if has else "")
     totals[~good] = 0
-    stay = np.repeat(good, sizes)
-    at, sizes = at[stay], np.where(good, sizes, 0)
+    at, sizes = at[np.repeat(good, sizes)], np.where(good, sizes, 0)
     # Links only of pieces in texts that have tokens.
     times = np.bincount(at, minlength=len(own))
-    every = [tool.pairs[i] if n else np.empty(0, np.int64) for i, n in zip(found.tolist(), times.tolist(), strict=True)]
-    link_sizes = np.fromiter(map(len, every), np.int64, len(every))
-    pairs, links = np.unique(np.concatenate([np.empty(0, np.int64), *every]), return_inverse=True)
+    link_sizes = np.where(times > 0, per[:, 3], 0)
+    pairs, links = np.unique(tool.pairs[_gathered(tool.begins[found], link_sizes)], return_inverse=True)
     counts = np.bincount(links, weights=np.repeat(times, link_sizes), minlength=len(pairs)).astype(np.int64)
-    if any(len(p) > LONGEST for p in own):
-        for piece in own:
-            if len(piece) > LONGEST:
-                i = tool.known.pop(piece)
-                tool.written[i], tool.pairs[i] = "", np.empty(0, np.int64)
     lists = [doc_ids, pa.array(totals[:, :4].ravel()), pa.array(digests, pa.string()), *(pa.array(x.astype(np.int32)) for x in (sizes, at, link_sizes, links)), pa.array(pairs), pa.array(counts)]
     wrapped = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
     return pa.record_batch([pa.array([block]), *wrapped], schema=BLOCK)
@@ -280,13 +285,12 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, made = aligner(path_a, path_b), 0
         for batch in batches:
-            sizes = batch.column(1).to_pylist()
             begin = chars = 0
-            for i, text in enumerate(sizes):
-                chars += len(text or "")
-                if chars >= BLOCK_CHARS or i == len(sizes) - 1:
-                    block = TaskContext.get().partitionId() << 32 | made
-                    yield describe(tool, block, batch.column(0).slice(begin, i + 1 - begin), sizes[begin : i + 1])
+            for i, size in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+                chars += size or 0
+                if chars >= BLOCK_CHARS or i == batch.num_rows - 1:
+                    block, rows = TaskContext.get().partitionId() << 32 | made, batch.slice(begin, i + 1 - begin)
+                    yield describe(tool, block, rows.column(0), rows.column(1).to_pylist())
                     begin, chars, made = i + 1, 0, made + 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
