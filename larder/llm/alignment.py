@@ -37,7 +37,7 @@ from tokenizers import Tokenizer
 from larder.llm.components import _kept
 from larder.llm.vocabularies import path_of
 
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 #: Characters of pieces that a worker remembers, pieces that are encoded in a row.
 REMEMBERED, TOGETHER = 1 << 20, 256
 SPACE = "▁"
