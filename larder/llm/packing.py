@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,9 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: Texts that hold an added token, once in lower case, go to the tokenizer whole, since it cuts them there.
+        self.added = re.compile("|".join(map(re.escape, added)) or r"\b\B", re.I)
         self.words: dict[str, bytes] = {}
         self.by_word = self._splits()
         self.lean = self._lean() if self.by_word else None
@@ -84,9 +87,10 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return [packed(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        plain = [t for t in texts if not _OTHER_SPACE.search(t)]
-        coded = iter(self._by_word(plain))
-        return [b"".join(self._ids(_SPACE.split(t))) if _OTHER_SPACE.search(t) else next(coded) for t in texts]
+        whole = [self.added.search(t) is not None for t in texts]
+        odd = [_OTHER_SPACE.search(t) is not None for t in texts]
+        coded = iter(self._by_word([t for t, w, o in zip(texts, whole, odd, strict=True) if not w and not o]))
+        return [packed(self.tokenizer.encode(t, add_special_tokens=False)) if w else b"".join(self._ids(_SPACE.split(t))) if o else next(coded) for t, w, o in zip(texts, whole, odd, strict=True)]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of each word, looked up or made."""
@@ -109,7 +113,7 @@ class WordTokenizer:
         cut, bare = {}, set()
         for w in new:
             n = len(w.rstrip(STOPS))
-            if 0 < n < len(w) and w[n - 1].isalnum():
+            if 0 < n < len(w) and w[n - 1].isalnum() and normalize("NFC", w[:n]).lower()[-1].isalnum():
                 cut[w] = n
                 bare.update((w[:n], w[n:]))
             else:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from odd_rows import ODD
 from tokenizers import Tokenizer
@@ -10,7 +12,6 @@ PATH = path_of("word_bpe_49k.json")
 
 def whole_ids(text):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -49,6 +50,14 @@ def test_word_cache_gives_the_ids_of_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == whole_ids(text)[:-1]
 
 
+def test_odd_strings_have_the_ids_of_the_file():
+    rng, tokenizer, file = random.Random(6), packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    signs = [*"abc İIıßﬁﬀŒÅé.!?,%*#:;'12 \t\n\x1c\x85", "i\u0307", "e\u0301", "\u0307", "\u0301", "\u0327", "Å", "İ.", "*İ%", "'s", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "text|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    wanted = file.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, ids, w in zip(texts, tokenizer.encode(texts), wanted, strict=True) if np.frombuffer(ids, "<u4").tolist() != w.ids] == []
+
+
 def test_curve_visits_neighbours():
     side = 4
     cells = np.stack(np.meshgrid(*[np.arange(side)] * packing.DIMS, indexing="ij"), -1).reshape(-1, packing.DIMS)
