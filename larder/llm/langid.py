@@ -29,12 +29,17 @@ SAMPLE, ROUNDS = 4000, 120
 SLICE, TEXTS = 1 << 20, 128
 #: Codewords whose mean losses of a bit differ by less are too close to tell.
 CLOSE = 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and digits and numbers that are no decimals.
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 # Odd multipliers of the n-gram hash, one for each place.
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 PREDICTION = "struct<lang_pred:string,score:double,ambiguous:boolean>"
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of the shares of hashed n-grams of one to three characters, of length 1."""
     counts = np.zeros(BUCKETS, np.int64)
@@ -75,7 +80,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = [(UND, 0.0, True)] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         for at in range(0, len(some), TEXTS):
             rows = some[at : at + TEXTS]
             margins = np.stack([features(texts[i]) for i in rows]) @ self.weights + self.bias

@@ -48,6 +48,11 @@ def test_odd_rows(odd, none):
     assert {r.p.lang_pred for r in odd.select(langid.predict(F.col("text"), nothing).alias("p")).collect()} == {"und"}
 
 
+def test_texts_without_letters():
+    assert not any(map(langid.has_letter, ["", "²³", "½ ¼", "①②", "Ⅷ", "12_ 3!", "\u0301"]))
+    assert all(map(langid.has_letter, ["² a", "ª", "日", "ʰ"]))
+
+
 def test_unclear_texts_are_flagged(spark):
     rows = [(i, ("abab " if i % 2 else "xyxy ") * 20, "one" if i % 2 else "two") for i in range(200)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
