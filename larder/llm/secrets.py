@@ -8,8 +8,8 @@ Kinds, in the order in which spans that start together are listed:
 * random: a run of at least RUN letters, digits and `+/_-` with no more than RATIO characters per token of
   the given vocabulary. Words of any language are in a vocabulary by pieces of two to four letters, random
   strings only by one or two. It must mix letters and digits, or hold several letters of either case.
-  Digests of usual length, UUIDs and identifiers (words and numbers joined by `+/_-`) are left out, as is
-  what overlaps a span of the fixed patterns.
+  Digests of usual length, UUIDs and identifiers (words and numbers joined by `+/_-`) are left out. Where spans of
+  the fixed patterns cover parts of a run, each part beside them is judged as a run of its own.
 
 Spans count code points, the end is exclusive. A pattern's matches are leftmost and do not overlap; one that
 fails its length is dropped and still takes up its text. Null and empty texts have no spans. The functions
@@ -28,7 +28,7 @@ from larder.llm.vocabularies import path_of, tiktoken_encoding
 
 KINDS = ("assign", "access", "hex", "random")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-RUN, RATIO = 20, 2.0
+RUN, RATIO, JOINTS = 20, 2.0, "+/_-="
 DIGESTS = {32, 40, 48, 56, 64, 96, 128}
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -68,13 +68,17 @@ def spans_of(text: str | None, path: str, ratio: float = RATIO) -> list[tuple[in
         found.sort()
         at, reach, added = 0, 0, []
         for start, end in runs:
+            parts, free = [], max(start, reach)
             while at < len(found) and found[at][0] < end:
+                parts.append((free, found[at][0]))
                 reach, at = max(reach, found[at][2]), at + 1
-            run = text[start:end]
-            if reach > start or not mixed(run) or known(run):
-                continue
-            if len(run) <= ratio * len(tiktoken_encoding(path).encode_ordinary(run)):
-                added.append((start, 3, end))
+                free = max(free, reach)
+            for i, j in [*parts, (free, end)]:
+                if (i, j) != (start, end):  # what stands beside a span loses the signs between them
+                    i, j = i + len(text[i:j]) - len(text[i:j].lstrip(JOINTS)), j - len(text[i:j]) + len(text[i:j].rstrip(JOINTS))
+                run = text[i:j]
+                if len(run) >= RUN and mixed(run) and not known(run) and len(run) <= ratio * len(tiktoken_encoding(path).encode_ordinary(run)):
+                    added.append((i, 3, j))
         found += added
     found.sort()
     return found
