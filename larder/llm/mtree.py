@@ -35,15 +35,13 @@ from larder.llm.components import _kept
 
 ROUTING, GROUP, PAGE, BLOCK = 256, 4096, 64, 256
 SCALE = 1024
-#: Components beyond this are cut to it, so that scores of up to 2**13 dimensions stay below 2**63.
-LIMIT = 1 << 24
 
 
 def whole_vectors(df: DataFrame, id_column: str, vector_column: str, scale: int = SCALE) -> DataFrame:
     """(id, v): floor(scale * x) of every component, as an array of longs."""
     x = F.col(vector_column).cast("array<double>")
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    put = lambda c: F.floor(F.least(F.greatest(c * F.lit(float(scale)), F.lit(-float(LIMIT))), F.lit(float(LIMIT)))).cast("long")
+    put = lambda c: F.floor(c * F.lit(float(scale))).cast("long")
     return df.select(F.col(id_column).cast("long").alias("id"), x.alias("x")).where(x.isNotNull() & fine).select("id", F.transform("x", put).alias("v"))
 
 
@@ -56,11 +54,14 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers: floats where all sums are below 2**53, longs otherwise."""
+    """Exact inner products of whole numbers: floats where all sums are below 2**53, longs below 2**63."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
-    if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 1 << 53:
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1]
+    if most < 1 << 53:
         return (a @ b.T).astype(np.int64)
+    if most >= (1 << 63) - (1 << 53) or max(np.abs(a).max(), np.abs(b).max()) > 1 << 53:
+        raise OverflowError("inner products of these vectors do not fit into 64 bits")
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 

@@ -39,8 +39,14 @@ def test_odd_vectors(spark):
     rows = table(40, 4, 2) + [(100, None), (120, [1.0, None, 0, 0]), (140, [float("nan")] * 4), (160, [float("inf"), 0, 0, 0])]
     rows += [(180, [0.5, -0.25]), (200, []), (20, [0.1, 0.2, 0.3, 0.4]), (None, [9.0, 9.0, 9.0, 9.0]), (60, [1e6, -1e6, 0.0, 0.0])]
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows]
-    limited = [(i, [max(-mtree.LIMIT, min(mtree.LIMIT, x)) for x in v]) for i, v in whole(rows)]
-    assert search(spark, rows, 20, k=5, routing=4) == sorted(plain.best_products(limited, lambda i: i % 20 == 0, 5), key=repr)
+    assert search(spark, rows, 20, k=5, routing=4) == sorted(plain.best_products(whole(rows), lambda i: i % 20 == 0, 5), key=repr)
+
+
+def test_products_beyond_long_numbers_are_refused():
+    fine = np.array([[2.0**30, 1.0]])
+    assert mtree._products(fine, fine).tolist() == [[2**60 + 1]]
+    with pytest.raises(OverflowError):
+        mtree._products(fine * 4, fine)
 
 
 def test_few_and_no_vectors(spark):
