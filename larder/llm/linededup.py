@@ -4,7 +4,7 @@ A line is what stands between line feeds, without blanks at its end; lines of bl
 them and count for nothing. The corpus is the sequence of lines of all documents in the order of doc_id; runs
 do not reach over the end of a document. A run is repeated if the same lines stand elsewhere in the corpus, it
 is a later copy if they also stand earlier, and every line of a later copy of at least `min_words` words (parted by
-any white space; ten characters count as one word at least) is deleted. A run that repeats inside itself is cut to its first period.
+blanks and tabs; ten characters count as one word at least) is deleted. A run that repeats inside itself is cut to its first period.
 
 Lines get ids in sorted order. Lines that occur once end every run, so only the others are kept. Prefix
 doubling ranks the suffixes by 1, 2, 4, ... lines: the pair (rank of a suffix, rank of the one that many lines
@@ -28,9 +28,7 @@ from pyspark.sql import functions as F
 from larder.llm.components import _kept
 
 MIN_WORDS = 10
-#: White space, as Unicode has it and at four control characters.
-SPACES = "\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A line has at least as many words as it has stretches of so many characters, for scripts without blanks.
+#: A line has at least as many words as it has stretches of so many characters: for other white space, and scripts without.
 WORD_CHARS = 10
 LAST = (1 << 63) - 1
 KEY = ["doc", "hash"]
@@ -51,7 +49,7 @@ def line_table(docs: DataFrame) -> DataFrame:
     """(doc, hash, n, line, words) of every line that is not blank; `line` is its MD5, as binary."""
     lines = _keyed(docs.select("doc_id", "text")).select(*KEY, F.posexplode(_elements(F.col("text"))).alias("n", "_element"))
     lines = lines.withColumn("_line", F.regexp_replace("_element", "[ \t\r\n]+$", "")).where("_line <> ''")
-    words = F.greatest(F.regexp_count("_line", F.lit(f"[^{SPACES}]+")), F.floor(F.char_length("_line") / WORD_CHARS).cast("int"))
+    words = F.greatest(F.size(F.split(F.trim("_line"), "[ \t]+")), F.floor(F.char_length("_line") / WORD_CHARS).cast("int"))
     return lines.select(*KEY, "n", F.unhex(F.md5("_line")).alias("line"), words.alias("words"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.linededup import SPACES, WORD_CHARS, without_copies
+from larder.llm.linededup import WORD_CHARS, without_copies
 from larder.llm.registry import read, register
 
 #: Common tables that leave `deduped` (doc_id, lang, source, text, n_lines, n_deleted) of a relation `docs_in`
@@ -23,7 +23,7 @@ numbered AS (
 lines AS (SELECT doc_id, n, rtrim(l, ' ' || chr(9) || chr(13)) AS l FROM numbered WHERE full_line),
 lists AS (
   SELECT doc_id, list(l ORDER BY n) AS ls,
-         list(greatest(len(regexp_extract_all(l, '[^SPACES]+')), length(l) // WORD_CHARS) ORDER BY n) AS ws
+         list(greatest(len(string_split_regex(regexp_replace(l, '^ +', ''), '[ \t]+')), length(l) // WORD_CHARS) ORDER BY n) AS ws
   FROM lines GROUP BY doc_id
 ),
 starts AS (SELECT doc_id, ls, ws, unnest(range(1, len(ls) + 1)) AS n FROM lists),
@@ -47,7 +47,7 @@ deduped AS (
   FROM docs_in d LEFT JOIN kept k USING (doc_id) LEFT JOIN lists s USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n_deleted FROM gone GROUP BY doc_id) c USING (doc_id)
 )
-""".replace("SPACES", SPACES).replace("WORD_CHARS", str(WORD_CHARS))
+""".replace("WORD_CHARS", str(WORD_CHARS))
 
 SQL = f"""
 WITH docs_in AS (SELECT doc_id, text, lang, source FROM documents),

@@ -105,7 +105,7 @@ def line_dedup(rows, min_words=10):
         parts = [p.rstrip(" \t\r\n") for p in elements(text)]
         texts.append(parts)
         places += [(d, n) for n, p in enumerate(parts) if p]
-    words = lambda line: max(len(re.findall(r"[^\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", line)), len(line) // 10)
+    words = lambda line: max(len(re.split("[ \t]+", line.strip(" "))), len(line) // 10)
     gone = set()
     for x, (d, n) in enumerate(places):
         most = 0
