@@ -16,7 +16,7 @@ from larder.operators.rank import compare_groups, lookup, rank_by, rank_items, t
 from larder.operators.reshape import to_long
 from larder.operators.similar import similar_to
 from larder.operators.star import Star, build_fact, group_dim, item_dim, measure_dim, register_views
-from larder.sources.tables import write_table
+from larder.sources.snapshots import commit, read_snapshot, snapshots
 
 # The measure catalog (id, name, unit, category).
 MEASURES = [
@@ -237,18 +237,20 @@ def gold(spark: SparkSession, longs: Mapping[str, DataFrame], source: str) -> St
     return Star(groups, items, measures, build_fact(list(longs.values()), measures))
 
 
+GOLD = ("group", "item", "measure", "fact")
+
+
 def write_gold(star: Star, folder: str) -> Star:
-    """The four tables on storage, the fact partitioned by measure since every question names one."""
-    spark = star.fact.sparkSession
-    write_table(star.group, f"{folder}/group")
-    write_table(star.item, f"{folder}/item")
-    write_table(star.measure, f"{folder}/measure")
-    write_table(star.fact, f"{folder}/fact", partition_by=["measure_id"])
-    return read_gold(spark, folder)
+    """The four tables as one snapshot, the fact partitioned by measure since every question names one."""
+    tables = dict(zip(GOLD, (star.group, star.item, star.measure, star.fact), strict=True))
+    found = commit(tables, folder, {"fact": ["measure_id"]})
+    return read_gold(star.fact.sparkSession, folder, found.version)
 
 
-def read_gold(spark: SparkSession, folder: str) -> Star:
-    return Star(*[spark.read.parquet(f"{folder}/{t}") for t in ("group", "item", "measure", "fact")])
+def read_gold(spark: SparkSession, folder: str, version: int | None = None) -> Star:
+    """The star of one snapshot: its tables always belong together."""
+    version = version or snapshots(spark, folder)[0].version
+    return Star(*[read_snapshot(spark, folder, t, version) for t in GOLD])
 
 
 def gold_checks(star: Star) -> DataFrame:

@@ -39,6 +39,7 @@ from larder.plans.warehouse_queries import QUESTION_KEY_SQL, TABLES
 from larder.session import new_path
 from larder.sources.grid import read_grid
 from larder.sources.reports import read_reports, report_details, run_heads, write_reports
+from larder.sources.snapshots import commit, read_snapshot, write_data
 from larder.sources.tables import catalog_of, read_references, read_table, write_references, write_table
 
 # ---------------------------------------------------------------- result comparison
@@ -1078,6 +1079,23 @@ def q_write_then_read(spark, sf):
     return spark.read.parquet(path).select("l_orderkey", "l_returnflag", "l_quantity")
 
 
+@register(
+    "snapshot_load",
+    """SELECT 'newest' AS state, o_orderstatus, count(*) AS n, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'first', o_orderstatus, count(*), CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus""",
+)
+def q_snapshot_load(spark, sf):
+    """Orders loaded in two snapshots; a third load dies before its manifest and is not seen."""
+    path = new_path(spark, "orders")
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    first = commit({"orders": orders.where("o_orderstatus <> 'O'")}, path, {"orders": ["o_orderstatus"]})
+    newest = commit({"orders": orders}, path, {"orders": ["o_orderstatus"]})
+    write_data({"orders": orders.unionByName(orders)}, path, {"orders": ["o_orderstatus"]})
+    states = [read_snapshot(spark, path, "orders", v).withColumn("state", F.lit(s)) for v, s in ((first.version, "first"), (newest.version, "newest"))]
+    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+    return states[0].unionByName(states[1]).groupBy("state", "o_orderstatus").agg(F.count("*").alias("n"), total)
+
+
 @register("grid_round_trip", "SELECT CAST(o_orderkey AS VARCHAR) AS c0, o_orderpriority AS c1, NULL::VARCHAR AS c2 FROM orders")
 def q_grid_round_trip(spark, sf):
     """A sheet exported as CSV in several files and read back as a grid."""

@@ -14,6 +14,7 @@ from larder.operators.reshape import to_long
 from larder.operators.star import Star, build_fact, group_dim, item_dim, measure_dim
 from larder.plans.food import write_gold
 from larder.session import new_path
+from larder.sources.snapshots import state_of_files
 from larder.sources.tables import read_table
 
 SCALE = 4
@@ -95,12 +96,8 @@ _gold: dict[tuple, Star] = {}
 
 
 def _versions(spark: SparkSession, sf: str, tables: tuple[str, ...]) -> tuple:
-    """Name, size and time of change of the tables' files."""
-    found = []
-    for table in tables:
-        files = read_table(spark, sf, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-        found += sorted(map(tuple, files.distinct().collect()))
-    return tuple(found)
+    """State of the tables' files, from their listing."""
+    return tuple(state_of_files(spark, f"{sf.rstrip('/')}/{table}.parquet") for table in tables)
 
 
 def _gold_once(spark: SparkSession, sf: str, name: str, longs, catalog, tables: tuple[str, ...]) -> Star:
