@@ -5,8 +5,8 @@ the space is cut in two halves with a random code of B words each, and a directi
 one of the second. CODES such products hold CODES * B * B directions, and all of them that a vector exceeds are decoded
 from two sorted lists of B numbers, without going through the product. The threshold lets a share SHARE / rows of all
 directions pass (a share of at most MOST), and a vector that passes fewer than LEAST takes its LEAST best, so that
-vectors which the halves cut unevenly are not lost. Two vectors at cosine 0.93 then fail to share a direction in less than one of
-a thousand cases, by simulation and by the tests; nearer ones practically never.
+vectors which the halves cut unevenly are not lost. None of 1,600 simulated pairs at cosine 0.93 failed to share a direction; the tests
+ask for 99 of 100 there and for every pair of their tables.
 
 Equal vectors are one class. Classes are joined on filters by shards, one for each word of the first half; a shard gets
 vectors once, rounded to 16 bits, and joins them on the second word. A pair is verified where it shares its first
