@@ -37,6 +37,7 @@ from larder.plans.registry import register
 from larder.plans.testdata import PARTS_SQL, SCALE, parts
 from larder.plans.warehouse_queries import QUESTION_KEY_SQL, TABLES
 from larder.session import new_path
+from larder.sources import cachebuckets
 from larder.sources.grid import read_grid
 from larder.sources.reports import read_reports, report_details, run_heads, write_reports
 from larder.sources.snapshots import commit, read_snapshot, write_data
@@ -886,6 +887,21 @@ def q_cache_upsert(spark, sf):
     return cache_upsert(_cache(spark, sf), _late(spark, sf))
 
 
+@register("cache_upsert_buckets", f"WITH {_CALLS_SQL} SELECT * FROM merged")
+def q_cache_upsert_buckets(spark, sf):
+    path, late = new_path(spark, "cache-buckets"), _late(spark, sf)
+    cachebuckets.create(spark, path, 16)
+    cachebuckets.fill(_cache(spark, sf), path)
+    ends = late.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    middle = F.lit(ends.first + (ends.last - ends.first) / 2) if ends.first else F.lit(None)
+    halves = late.where(F.col("at") < middle), late.where(F.col("at") >= middle)
+    cachebuckets.upsert(halves[0], path, 1)
+    cachebuckets.compact(spark, path)
+    cachebuckets.upsert(halves[0], path, 1)  # sent again, counts once
+    cachebuckets.upsert(halves[1], path, 2)
+    return cachebuckets.read(spark, path)
+
+
 @register(
     "cache_lookup",
     f"""WITH {_CALLS_SQL} SELECT seq, question_key, c.sql, result_snapshot, c.response, c.question_key IS NOT NULL AS found

@@ -34,7 +34,8 @@ def _at(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _listed(spark: SparkSession, path: str) -> list:
+def listed(spark: SparkSession, path: str) -> list:
+    """File states in a folder, none if it is not there."""
     files, where = _at(spark, path)
     return list(files.listStatus(where)) if files.exists(where) else []
 
@@ -48,17 +49,46 @@ def _text(spark: SparkSession, path) -> str:
         stream.close()
 
 
-def _manifests(spark: SparkSession, path: str) -> Iterator[Snapshot]:
-    """Whole manifests, the newest first; one that a writer has not finished is no snapshot yet."""
-    for status in sorted(_listed(spark, f"{path}/manifests"), key=lambda s: s.getPath().getName(), reverse=True):
+def whole_manifests(spark: SparkSession, path: str) -> Iterator[tuple[int, dict]]:
+    """Numbers and contents of manifests, the newest first; one that a writer has not finished is none yet."""
+    for status in sorted(listed(spark, f"{path}/manifests"), key=lambda s: s.getPath().getName(), reverse=True):
         name = status.getPath().getName()
         if not name.endswith(".json"):
             continue
         try:
-            found = json.loads(_text(spark, status.getPath()))
+            yield int(name.removesuffix(".json")), json.loads(_text(spark, status.getPath()))
         except json.JSONDecodeError:
             continue
-        yield Snapshot(int(name.removesuffix(".json")), found["folder"], tuple(found["tables"]))
+
+
+def newest_number(spark: SparkSession, path: str) -> int:
+    """The greatest number that a manifest has, whole or not; 0 if there is none."""
+    names = [s.getPath().getName() for s in listed(spark, f"{path}/manifests")]
+    return max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
+
+
+def claim(spark: SparkSession, path: str, number: int, body: str) -> bool:
+    """Create the manifest of a number; False if another writer has it."""
+    files, where = _at(spark, f"{path}/manifests/{number:012d}.json")
+    try:
+        stream = files.create(where, False)
+    except Py4JJavaError:
+        if not files.exists(where):
+            raise
+        return False
+    stream.write(bytearray(body.encode()))
+    stream.close()
+    return True
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
+def _manifests(spark: SparkSession, path: str) -> Iterator[Snapshot]:
+    for number, found in whole_manifests(spark, path):
+        yield Snapshot(number, found["folder"], tuple(found["tables"]))
 
 
 def snapshots(spark: SparkSession, path: str) -> list[Snapshot]:
@@ -80,21 +110,11 @@ def write_data(tables: Mapping[str, DataFrame], path: str, partition_by: Mapping
 
 def publish(spark: SparkSession, path: str, folder: str, tables: Sequence[str]) -> Snapshot:
     """Make a folder of `write_data` the newest snapshot."""
-    body = json.dumps({"folder": folder, "tables": list(tables)}).encode()
-    names = [s.getPath().getName() for s in _listed(spark, f"{path}/manifests")]
-    version = 1 + max((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), default=0)
-    while True:
-        files, where = _at(spark, f"{path}/manifests/{version:012d}.json")
-        try:
-            stream = files.create(where, False)
-        except Py4JJavaError:
-            if not files.exists(where):
-                raise
-            version += 1  # another writer was faster
-            continue
-        stream.write(bytearray(body))
-        stream.close()
-        return Snapshot(version, folder, tuple(tables))
+    body = json.dumps({"folder": folder, "tables": list(tables)})
+    version = newest_number(spark, path) + 1
+    while not claim(spark, path, version, body):
+        version += 1  # another writer was faster
+    return Snapshot(version, folder, tuple(tables))
 
 
 def commit(tables: Mapping[str, DataFrame], path: str, partition_by: Mapping[str, Sequence[str]] | None = None) -> Snapshot:
@@ -117,16 +137,14 @@ def expire(spark: SparkSession, path: str, keep: int = 2, older_than_s: float =
     """Delete all but the newest snapshots, and data without a manifest that is older; the number of folders deleted."""
     found = snapshots(spark, path)
     for old in found[keep:]:
-        files, where = _at(spark, f"{path}/manifests/{old.version:012d}.json")
-        files.delete(where, False)
+        deleted(spark, f"{path}/manifests/{old.version:012d}.json")
     named = {s.folder.rsplit("/", 1)[1] for s in found[:keep]}
     unnamed = {s.folder.rsplit("/", 1)[1] for s in found[keep:]}
     gone = 0
-    for status in _listed(spark, f"{path}/data"):
+    for status in listed(spark, f"{path}/data"):
         name, age = status.getPath().getName(), time.time() - status.getModificationTime() / 1000
         if name not in named and (name in unnamed or age > older_than_s):
-            files, where = _at(spark, status.getPath().toString())
-            files.delete(where, True)
+            deleted(spark, status.getPath().toString())
             gone += 1
     return gone
 
