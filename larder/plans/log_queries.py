@@ -37,7 +37,7 @@ from larder.plans.registry import register
 from larder.plans.testdata import PARTS_SQL, SCALE, parts
 from larder.plans.warehouse_queries import QUESTION_KEY_SQL, TABLES
 from larder.session import new_path
-from larder.sources import cachebuckets
+from larder.sources import cachebuckets, textindex
 from larder.sources.grid import read_grid
 from larder.sources.reports import read_reports, report_details, run_heads, write_reports
 from larder.sources.snapshots import commit, read_snapshot, write_data
@@ -1083,6 +1083,20 @@ def q_resolve_composite(spark, sf):
     return totals.select("question_id", "term", "total")
 
 
+_PATTERNS = ["%data%", "%the%ing%", "%_er %on%", "%r_", "%not there at all%"]
+
+
+@register(
+    "search_trigrams",
+    f"""SELECT pattern, doc_id FROM documents, (VALUES {", ".join(f"('{p}')" for p in _PATTERNS)}) AS p(pattern)
+    WHERE text LIKE pattern""",
+)
+def q_search_trigrams(spark, sf):
+    folder = new_path(spark, "trigrams")
+    textindex.build(read_table(spark, sf, "documents"), folder, "doc_id", "text")
+    return _all(textindex.search(spark, folder, p).select(F.lit(p).alias("pattern"), F.col("id").alias("doc_id")) for p in _PATTERNS)
+
+
 # ---------------------------------------------------------------- round trips
 
 
