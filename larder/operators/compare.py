@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from larder.functions.numbers import round_even
 from larder.functions.text import cell_text
+from larder.session import cut_lineage
 
 ROUND_DIGITS = 2
 
@@ -25,6 +26,9 @@ OPTIONAL_COLUMNS = ["unit"]
 
 OVERLAP_ENOUGH = 0.8
 
+#: All columns have partners of equal values, but not in the same rows.
+MISALIGNED = "values exist but rows do not line up"
+
 
 @dataclass(frozen=True)
 class Verdict:
@@ -173,6 +177,45 @@ def _row_hash(names: Column) -> Column:
     return F.when(names.isNotNull(), own).otherwise(F.lit(0).cast("long"))
 
 
+def _both(gold: DataFrame, cand: DataFrame) -> DataFrame:
+    return gold.withColumn("side", F.lit("gold")).unionByName(cand.withColumn("side", F.lit("cand")))
+
+
+def _column_digests(rows: DataFrame, hashed: Column, out: str) -> DataFrame:
+    """(question, side, name, kind, at, out): a digest of each column's hashed cells ``c`` that are not NULL."""
+    cells = rows.select("question", "side", "pos", "beside", F.posexplode("cells").alias("at", "c"))
+    cell = F.when(F.col("c.v").isNotNull(), hashed)
+    return cells.groupBy("question", "side", "c.name", "c.kind").agg(F.min("at").alias("at"), F.concat_ws("|", F.first("c.kind"), _digest(cell)).alias(out))
+
+
+def _beside(both: DataFrame, columns: DataFrame, by: str) -> DataFrame:
+    """Rows with a hash of what stands in them, whichever of the columns of a class ``by`` it stands in.
+
+    Classes with more columns on one side than on the other do not count.
+    """
+    even = columns.groupBy("question", by).agg(F.count_if(F.col("side") == "gold").alias("g"), F.count_if(F.col("side") == "cand").alias("c")).where("g = c")
+    marks = columns.join(even, ["question", by]).groupBy("question", "side")
+    marks = marks.agg(F.map_from_entries(F.collect_list(F.struct("name", by))).alias("marks"))
+    return both.join(marks, ["question", "side"], "left").withColumn("beside", _row_hash(F.col("marks")))
+
+
+def _line_up(both: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(question, line_up): whether the rows are equal over the pairs (question, gold, cand) of columns."""
+    named = pairs.select(
+        "question",
+        F.inline(
+            F.array(
+                F.struct(F.lit("gold").alias("side"), F.col("gold").alias("name"), F.col("gold").alias("as")),
+                F.struct(F.lit("cand").alias("side"), F.col("cand").alias("name"), F.col("gold").alias("as")),
+            )
+        ),
+    )
+    names = named.groupBy("question", "side").agg(F.map_from_entries(F.collect_list(F.struct("name", "as"))).alias("names"))
+    hashed = both.join(names, ["question", "side"]).withColumn("_h", F.xxhash64(_row_hash(F.col("names")), "pos"))
+    of = lambda side: _digest(F.when(F.col("side") == side, F.col("_h")))
+    return hashed.groupBy("question").agg((of("gold") == of("cand")).alias("line_up"))
+
+
 def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode: str = "rows") -> DataFrame:
     """(question, passed, reason) for each question in the ``answer_rows`` of references and candidates.
 
@@ -180,7 +223,7 @@ def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode:
     share their values are told apart by the rows they stand in, then by name, then by order. A question
     in neither table has no verdict.
     """
-    both = gold.withColumn("side", F.lit("gold")).unionByName(cand.withColumn("side", F.lit("cand")))
+    both = _both(gold, cand)
     of = lambda side: F.col("side") == side
     first = F.filter("cells", lambda c: c["kind"] == "number")
     numeric = F.when(F.size(first) > 0, F.coalesce(F.get(first, F.lit(0))["v"], F.lit("")))
@@ -193,18 +236,8 @@ def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode:
         (_digest(F.when(of("gold"), value)) == _digest(F.when(of("cand"), value))).alias("same_values"),
     )
 
-    def columns(rows: DataFrame, hashed: Column, out: str) -> DataFrame:
-        cells = rows.select("question", "side", "pos", "beside", F.posexplode("cells").alias("at", "c"))
-        cell = F.when(F.col("c.v").isNotNull(), hashed)
-        return cells.groupBy("question", "side", "c.name", "c.kind").agg(F.min("at").alias("at"), F.concat_ws("|", F.first("c.kind"), _digest(cell)).alias(out))
-
-    plain = columns(both.withColumn("beside", F.lit(0)), F.xxhash64("c.v"), "values")
-    # What stands in a row, whichever of the columns with equal values it stands in.
-    shared = plain.groupBy("question", "values").agg(F.count_if(of("gold")).alias("g"), F.count_if(of("cand")).alias("c")).where("g = c")
-    marks = plain.join(shared, ["question", "values"]).groupBy("question", "side")
-    marks = marks.agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("marks"))
-    beside = both.join(marks, ["question", "side"], "left").withColumn("beside", _row_hash(F.col("marks")))
-    among = columns(beside, F.xxhash64("c.v", "pos", "beside"), "rows").drop("at", "kind")
+    plain = _column_digests(both.withColumn("beside", F.lit(0)), F.xxhash64("c.v"), "values")
+    among = _column_digests(_beside(both, plain, "values"), F.xxhash64("c.v", "pos", "beside"), "rows").drop("at", "kind")
     known = plain.join(among, ["question", "side", "name"])
     column = F.struct("at", "name", "values", "rows")
     lists = known.groupBy("question").agg(
@@ -217,18 +250,7 @@ def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode:
     missing = F.filter(unmatched, lambda c: ~F.array_contains(may_miss, F.lower(c["name"])))
     lacks = F.when(F.size(missing) > 0, F.get(missing, F.lit(0))["name"]).when(F.size("pairs") == 0, F.get(unmatched, F.lit(0))["name"])
     paired = paired.select("question", "pairs", lacks.alias("lacks"))
-    named = paired.select("question", F.explode("pairs").alias("p")).select(
-        "question",
-        F.inline(
-            F.array(
-                F.struct(F.lit("gold").alias("side"), F.col("p.gold").alias("name"), F.col("p.gold").alias("as")),
-                F.struct(F.lit("cand").alias("side"), F.col("p.cand").alias("name"), F.col("p.gold").alias("as")),
-            )
-        ),
-    )
-    names = named.groupBy("question", "side").agg(F.map_from_entries(F.collect_list(F.struct("name", "as"))).alias("names"))
-    hashed = both.join(names, ["question", "side"]).withColumn("_h", F.xxhash64(_row_hash(F.col("names")), "pos"))
-    lined = hashed.groupBy("question").agg((_digest(F.when(of("gold"), F.col("_h"))) == _digest(F.when(of("cand"), F.col("_h")))).alias("line_up"))
+    lined = _line_up(both, paired.select("question", F.explode("pairs").alias("p")).select("question", "p.gold", "p.cand"))
 
     rows = sizes.join(paired.drop("pairs"), "question", "left").join(lined, "question", "left")
     count = F.concat(F.lit("cardinality: candidate "), F.col("n_cand").cast("string"), F.lit(" vs gold "), F.col("n_gold").cast("string"))
@@ -237,7 +259,7 @@ def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode:
         .when(F.col("n_gold") != F.col("n_cand"), count)
         .when(F.col("lacks").isNotNull(), F.concat(F.lit("no candidate column matches '"), "lacks", F.lit("'")))
         .when(F.col("line_up"), "column subset")
-        .otherwise("values exist but rows do not line up")
+        .otherwise(MISALIGNED)
     )
     values = (
         F.when(F.col("n_gold") != F.col("n_cand"), count)
@@ -250,6 +272,68 @@ def judge(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode:
     return judged.select("question", F.col("reason").isin("column subset", "value sequence").alias("passed"), "reason")
 
 
+def _settled(both: DataFrame) -> DataFrame:
+    """(question, side, name, at, class) with at most one column a side in each class that both sides have.
+
+    A class starts as the columns of equal values. In each round it is split by the rows its columns stand in,
+    seen through the classes of the round before. Where a round splits nothing, a pair of the smallest open
+    class gets a class of its own, columns of one name first, then in their order; what stands beside the pair
+    follows in the next round. Every round makes a new class in each open question, so there are at most as many
+    rounds as columns, and a round reads the rows of open questions only.
+    """
+    of = lambda side: F.col("side") == side
+    plain = _column_digests(both.withColumn("beside", F.lit(0)), F.xxhash64("c.v"), "class").drop("kind")
+    classes, closed = cut_lineage(plain), []
+    while True:
+        rows = both.join(classes.select("question").distinct(), "question")
+        among = _column_digests(_beside(rows, classes, "class"), F.xxhash64("c.v", "pos", "beside"), "rows").select("question", "side", "name", "rows")
+        finer = classes.join(among, ["question", "side", "name"]).withColumn("finer", F.md5(F.concat_ws("/", "class", "rows"))).drop("rows")
+        finer = cut_lineage(finer)
+        split = finer.groupBy("question").agg((F.count_distinct("finer") > F.count_distinct("class")).alias("split"))
+        finer = finer.drop("class").withColumnRenamed("finer", "class")
+        first = F.min_by(F.when(of("gold"), F.col("name")), F.when(of("gold"), F.col("at"))).alias("gold")
+        sizes = finer.groupBy("question", "class").agg(F.count_if(of("gold")).alias("g"), F.count_if(of("cand")).alias("c"), first)
+        still = sizes.where("g > 0 and c > 0 and g + c > 2")
+        fit = F.struct(F.col("g") + F.col("c"), "class", F.col("name") != F.col("gold"), "at")
+        pick = still.join(finer.where(of("cand")), ["question", "class"]).groupBy("question").agg(F.min_by(F.struct("class", "gold", "name"), fit).alias("pick"))
+        marked = finer.join(pick, "question", "left").join(split, "question")
+        chosen = (of("gold") & (F.col("name") == F.col("pick.gold"))) | (of("cand") & (F.col("name") == F.col("pick.name")))
+        own = F.when(~F.col("split") & chosen, F.md5(F.concat(F.lit("pair/"), "class"))).otherwise(F.col("class"))
+        marked = cut_lineage(marked.select("question", "side", "name", "at", own.alias("class"), F.col("pick").isNotNull().alias("open")))
+        closed.append(marked.where("not open").drop("open"))
+        classes = marked.where("open").drop("open")
+        if classes.isEmpty():
+            return reduce(DataFrame.unionByName, closed)
+
+
+def refine(judged: DataFrame, gold: DataFrame, cand: DataFrame, optional: Sequence[str] = ()) -> DataFrame:
+    """Verdicts of ``judge`` with another look at the answers whose rows did not line up.
+
+    One round of marks leaves columns alike that differ only by what stands beside them in columns that are
+    themselves told apart later. Here classes are refined until nothing splits and then paired one by one. A
+    pass is proved by equal rows over the pairs. Pairs are not taken back, so an answer can still fail where columns
+    that no refinement tells apart are no mirror images of each other. Runs jobs, none of them over other answers.
+    """
+    again = judged.where(F.col("reason") == MISALIGNED).select("question")
+    if again.isEmpty():
+        return judged
+    both = _both(gold, cand).join(again, "question")
+    classes = cut_lineage(_settled(both))
+    side = lambda s: classes.where(F.col("side") == s).select("question", "class", F.col("name").alias(s))
+    pairs = side("gold").join(side("cand"), ["question", "class"], "left")
+    may_miss = F.lower("gold").isin([c.lower() for c in [*OPTIONAL_COLUMNS, *optional]])
+    whole = pairs.groupBy("question").agg((F.count_if(F.col("cand").isNull() & ~may_miss) == 0).alias("whole"))
+    lined = _line_up(both, pairs.where("cand is not null")).join(whole, "question").where("line_up and whole").select("question", F.lit(True).alias("settled"))
+    settled = F.coalesce("settled", F.lit(False))
+    reason = F.when(settled, "column subset").otherwise(F.col("reason"))
+    return judged.join(lined, "question", "left").select("question", (F.col("passed") | settled).alias("passed"), reason.alias("reason"))
+
+
+def judge_refined(gold: DataFrame, cand: DataFrame, optional: Sequence[str] = (), mode: str = "rows") -> DataFrame:
+    """``judge``, then ``refine``."""
+    return refine(cut_lineage(judge(gold, cand, optional, mode)), gold, cand, optional)
+
+
 def judge_any(golds: Sequence[tuple[str, DataFrame]], cand: DataFrame, optional: Sequence[str] = (), mode: str = "rows") -> DataFrame:
     """The same against several references: the first that passes, else the reason of the first."""
     parts = [judge(gold, cand, optional, mode).withColumns({"_at": F.lit(i), "_name": F.lit(name)}) for i, (name, gold) in enumerate(golds)]
@@ -285,8 +369,9 @@ def compare(
     optional: Sequence[str] = (),
 ) -> Verdict:
     """Verdict on one pair of tables."""
-    one = F.lit("one")
-    return _one(judge(answer_rows(gold, one, position=position), answer_rows(cand, one, position=position), optional, mode))
+    rows = [answer_rows(df, F.lit("one"), position=position) for df in (gold, cand)]
+    verdict = _one(judge(*rows, optional, mode))
+    return verdict if verdict.reason != MISALIGNED else _one(judge_refined(*rows, optional, mode))
 
 
 def compare_subset(gold: DataFrame, cand: DataFrame, position: str | None = None, optional: Sequence[str] = ()) -> Verdict:

@@ -27,7 +27,7 @@ from larder.operators.cache import (
     valid_reuse,
     with_key,
 )
-from larder.operators.compare import answer_rows, exact_verdict, judge, judge_any, name_overlap, values_contained
+from larder.operators.compare import answer_rows, exact_verdict, judge, judge_any, judge_refined, name_overlap, values_contained
 from larder.operators.compose import total_by_group
 from larder.operators.conversation import history_window, render_history, thread_preview
 from larder.operators.rank import rank_items, top_k
@@ -181,6 +181,49 @@ def q_cmp_subset(spark, sf):
     return judge(golds, cands, optional=["note"]).withColumnRenamed("question", "case_name")
 
 
+# Per order five rows whose columns have the same values, and are told apart in two rounds.
+_TURNS = [(0, 1, 2), (1, 2, 2), (2, 1, 1), (1, 2, 0), (2, 0, 1)]
+_TURNS_SQL = f"""t AS (SELECT 3 * o_orderkey + a AS a, 3 * o_orderkey + b AS b, 3 * o_orderkey + c AS c
+    FROM orders, (VALUES {", ".join(map(str, _TURNS))}) AS p(a, b, c)),
+    l AS (SELECT x AS a, -x AS b, y AS c, -y AS d, k FROM (
+        SELECT o_orderkey AS k, 2 * o_orderkey AS x, 2 * o_orderkey + 1 AS y FROM orders
+        UNION ALL SELECT o_orderkey, 2 * o_orderkey + 1, 2 * o_orderkey FROM orders))"""
+_TORN_SQL = "SELECT a, CASE WHEN k % 2 = 0 THEN d ELSE b END, c, CASE WHEN k % 2 = 0 THEN b ELSE d END FROM l"
+
+
+@register(
+    "cmp_permuted",
+    f"WITH {_TURNS_SQL} "
+    + " UNION ALL ".join(
+        [
+            _subset_sql("turned", "SELECT a, b, c FROM t", "SELECT x, y, z FROM (SELECT c AS z, a AS x, b AS y FROM t)", "''"),
+            _subset_sql("misnamed", "SELECT a, b, c FROM t", "SELECT b, c, a FROM (SELECT a AS b, b AS c, c AS a FROM t)", "''"),
+            _subset_sql("crossed", "SELECT a, b, c, d FROM l", "SELECT w, z, y, x FROM (SELECT a AS w, d AS x, c AS y, b AS z FROM l)", "''"),
+            _subset_sql("torn", "SELECT a, b, c, d FROM l", _TORN_SQL, f"'{_DIFFERENT}'"),
+        ]
+    ),
+)
+def q_cmp_permuted(spark, sf):
+    """Answers whose columns share their values and are paired by refinement."""
+    orders = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    turns = F.array(*[F.struct(*[(3 * F.col("k") + v).alias(n) for n, v in zip("abc", row, strict=True)]) for row in _TURNS])
+    gold = orders.select(F.inline(turns))
+    x, y = 2 * F.col("k"), 2 * F.col("k") + 1
+    both = F.array(*[F.struct(p.alias("a"), (-p).alias("b"), q.alias("c"), (-q).alias("d")) for p, q in ((x, y), (y, x))])
+    rows = orders.select("k", F.inline(both))
+    linked, even = rows.drop("k"), F.col("k") % 2 == 0
+    torn = [F.when(even, F.col(p)).otherwise(F.col(q)).alias(n) for p, q, n in (("d", "b", "x"), ("b", "d", "z"))]
+    cases = {
+        "turned": (gold, gold.select(F.col("c").alias("z"), F.col("a").alias("x"), F.col("b").alias("y"))),
+        "misnamed": (gold, gold.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("c").alias("a"))),
+        "crossed": (linked, linked.select(F.col("a").alias("w"), F.col("d").alias("x"), F.col("c").alias("y"), F.col("b").alias("z"))),
+        "torn": (linked, rows.select(F.col("a").alias("w"), torn[0], F.col("c").alias("y"), torn[1])),
+    }
+    golds = _all(_case(name, g) for name, (g, _) in cases.items())
+    cands = _all(_case(name, c) for name, (_, c) in cases.items())
+    return judge_refined(golds, cands).withColumnRenamed("question", "case_name")
+
+
 _RANKED = f"""r AS (SELECT item_id, item_name, value, row_number() OVER (ORDER BY value DESC, item_name, item_id) AS a,
     row_number() OVER (ORDER BY value DESC, item_name DESC, item_id DESC) AS b
     FROM star WHERE measure_name = 'p_size' AND value IS NOT NULL)"""

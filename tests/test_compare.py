@@ -1,12 +1,19 @@
+import functools
+import itertools
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.compare import (
+    MISALIGNED,
+    answer_rows,
     compare,
     compare_any,
     compare_exact,
     compare_subset,
     compare_values,
+    judge_refined,
     name_overlap,
     normalize_table,
     values_contained,
@@ -66,6 +73,35 @@ def test_columns_of_equal_values_are_told_apart(spark):
     assert compare_subset(gold, gold.select("id", F.col("a").alias("x"), F.col("b").alias("y"))).passed
 
 
+# Columns a and b of these rows are told apart only after both are told apart from the third.
+PERMUTED = [(0, 1, 2), (1, 2, 2), (2, 1, 1), (1, 2, 0), (2, 0, 1)]
+
+
+# Rows that stay the same when the two pairs of columns trade places.
+LINKED = [(x, -x, y, -y) for x, y in [(1, 5), (2, 4), (3, 3), (4, 2), (5, 1)]]
+
+
+def test_columns_are_told_apart_in_several_rounds_and_pair_by_pair(spark):
+    gold = spark.createDataFrame(PERMUTED, "a int, b int, c int")
+    rename = lambda df, order, names: df.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    cases = {f"{''.join(o)} {names}": (gold, rename(gold, o, names)) for o in itertools.permutations("abc") for names in ("xyz", "bca")}
+    linked = spark.createDataFrame(LINKED, "a int, b int, c int, d int")
+    crossed = rename(linked, "adcb", "wxyz")
+    cases |= {"crossed": (linked, crossed), "optional": (linked.withColumn("unit", F.lit("g")), crossed), "part": (gold.select("a", "b"), rename(gold, "cab", "xyz"))}
+    good = set(cases)
+    # Cells of one column trade rows, so columns keep their values.
+    apart = spark.createDataFrame([(1, *PERMUTED[0][1:]), (0, *PERMUTED[1][1:]), *PERMUTED[2:]], "x int, y int, z int")
+    torn = spark.createDataFrame([(a, d, c, b) if a in (1, 5) else (a, b, c, d) for a, b, c, d in LINKED], "w int, x int, y int, z int")
+    cases |= {"apart": (gold, apart), "torn": (linked, torn), "fewer": (gold, gold.limit(2))}
+    sides = [functools.reduce(DataFrame.unionByName, [answer_rows(pair[i], F.lit(name)) for name, pair in cases.items()]) for i in (0, 1)]
+    got = {r.question: (r.passed, r.reason) for r in judge_refined(*sides).collect()}
+    assert got.keys() == cases.keys()
+    assert {name for name, (passed, _) in got.items() if passed} == good
+    assert got["apart"] == got["torn"] == (False, MISALIGNED)
+    assert got["fewer"] == (False, "cardinality: candidate 2 vs gold 5")
+    assert compare_subset(linked, crossed).passed
+
+
 def test_nulls_are_equal_and_not_a_number(spark):
     gold = spark.createDataFrame([("a", None), ("b", -99999.0)], "n string, v double")
     assert compare_subset(gold, gold).passed
