@@ -23,11 +23,8 @@ PARTS, MOST = 64, 4
 
 def trigrams(text: str) -> Column:
     """Distinct pieces of three characters of a column, none for shorter texts."""
-    chars = F.split(F.col(text), "")
-    two = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b))
-    three = F.zip_with(two, F.slice(chars, 3, F.size(chars)), lambda a, b: F.concat(a, b))
-    # Where one of the two lists has ended, the piece is null.
-    return F.array_distinct(F.filter(three, lambda piece: piece.isNotNull()))
+    # Each match takes one code point and looks two ahead; functions over an array of characters would be interpreted.
+    return F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 def required(pattern: str) -> list[str]:

@@ -50,3 +50,11 @@ def test_empty_table(spark, tmp_path):
     textindex.build(spark.createDataFrame([], "id long, text string"), str(tmp_path), "id", "text")
     for pattern in ("%ring%", "%"):
         assert textindex.search(spark, str(tmp_path), pattern).collect() == []
+
+
+def test_trigrams_are_code_points_and_not_interpreted(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "text string").select("text", textindex.trigrams("text").alias("grams"))
+    for text, grams in df.collect():
+        expected = None if text is None else {text[i : i + 3] for i in range(len(text) - 2)}
+        assert grams == expected if text is None else (set(grams) == expected and len(grams) == len(expected))
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
