@@ -19,7 +19,7 @@ group, null if it has none. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +38,15 @@ HOME_BLOCK, QUERY_BLOCK = 65_536, 262_144
 PAIRS = 1 << 21
 
 
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed 64-bit number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PAIRS >> 6):
+        some = np.array(hashes[at : at + (PAIRS >> 6)], "<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def simhash(text: str | None, width: int) -> int:
     """Fingerprint of one text, as a signed 64-bit number."""
     words = (text or "").encode().lower().split()
@@ -51,11 +60,7 @@ def simhash(text: str | None, width: int) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), PAIRS >> 6):
-        some = np.array(hashes[at : at + (PAIRS >> 6)], "<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -176,35 +181,76 @@ def search_shard(prints: np.ndarray, home: np.ndarray, ask: np.ndarray, radius:
     return groups.least
 
 
-def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b): each fingerprint of the column fp with the root of its group in a shard."""
-    n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    points = np.array([r["fp"] for r in sample], np.int64).view(np.uint64)
-    nodes = fit_tree(points, max(1, min(MOST_SHARDS, len(points) // 4, -(-n // SHARD_ROWS))))
+def near_forest(
+    prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, ask: np.ndarray, radius: int, unlike: Callable[[np.ndarray, np.ndarray], np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) that span the groups of all pairs within the radius, of sizes at most a fifth apart and `unlike` by 1 at most; the least unlike first."""
+    groups, found = _Groups(len(prints)), [np.empty((2, 0), np.int64)]
+    home, ask = home[np.argsort(sizes[home], kind="stable")], ask[np.argsort(sizes[ask], kind="stable")]
+    step = max(1, PAIRS // max(1, len(home)))
+    for at in range(0, len(ask), step):
+        some = ask[at : at + step]
+        low, high = np.searchsorted(5 * sizes[home], 4 * sizes[some[0]]), np.searchsorted(4 * sizes[home], 5 * sizes[some[-1]], "right")
+        here = home[low:high]
+        far = np.bitwise_count(prints[some][:, None] ^ prints[here][None, :])
+        row, col = np.nonzero(far <= radius)
+        a, b = some[row], here[col]
+        new = (groups.least[a] != groups.least[b]) & (5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b]))
+        a, b = a[new], b[new]
+        share = unlike(a, b)
+        order = np.flatnonzero(share <= 1)
+        order = order[np.argsort(share[order], kind="stable")]
+        a, b = a[order], b[order]
+        while len(a):
+            one, other = groups.least[a], groups.least[b]
+            apart = one != other
+            a, b, later = a[apart], b[apart], np.maximum(one, other)[apart]
+            # The first pair, the least unlike, of each group that can join one with a smaller root.
+            first = np.full(len(prints), -1)
+            first[later[::-1]] = np.arange(len(later))[::-1]
+            first = first[first >= 0]
+            found.append(np.stack((a[first], b[first])))
+            groups.link(a[first], b[first])
+    a, b = np.concatenate(found, axis=1)
+    return a, b
+
+
+def shards(points: DataFrame, fp: str, radius: int, rows: int, home_block: int, query_block: int) -> DataFrame:
+    """(shard, h, q, asks, columns of `points`): homes and queries that meet by (shard, h, q); `fp` holds fingerprints."""
+    n = points.count()
+    sample = points.select(fp).orderBy(F.xxhash64(fp), fp).limit(SAMPLE).collect()
+    prints = np.array([r[fp] for r in sample], np.int64).view(np.uint64)
+    nodes = fit_tree(prints, max(1, min(MOST_SHARDS, len(prints) // 4, -(-n // rows))))
+    columns = points.columns
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            prints = batch.column(columns.index(fp)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for shard, home, ask in _routes(nodes, prints, radius):
                 places = np.concatenate((home, ask))
                 yield pa.record_batch(
-                    [pa.array(np.full(len(places), shard, np.int32)), pa.array(np.arange(len(places)) >= len(home)), pa.array(prints[places].view(np.int64))],
-                    names=["shard", "asks", "fp"],
+                    [pa.array(np.full(len(places), shard, np.int32)), pa.array(np.arange(len(places)) >= len(home)), *batch.take(pa.array(places)).columns],
+                    names=["shard", "asks", *columns],
                 )
 
-    routed = _kept(distinct.select("fp").mapInArrow(route, "shard int, asks boolean, fp long"), "routed")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    routed = _kept(points.mapInArrow(route, f"shard int, asks boolean, {kinds}"), "routed")
     # One row for each shard and role: as many as the tree has leaves.
     sizes = {(r["shard"], r["asks"]): r["count"] for r in routed.groupBy("shard", "asks").count().collect()}
-    blocks = {s: (-(-rows // HOME_BLOCK), -(-sizes[s, True] // QUERY_BLOCK)) for (s, asks), rows in sizes.items() if not asks}
+    blocks = {s: (-(-rows // home_block), -(-sizes[s, True] // query_block)) for (s, asks), rows in sizes.items() if not asks}
     most = {s: b for s, b in blocks.items() if b != (1, 1)}
-    deal = F.pmod(F.xxhash64("fp"), F.lit(1)).cast("int")
+    deal = F.pmod(F.xxhash64(fp), F.lit(1)).cast("int")
     homes, asking = F.array(F.struct(deal.alias("h"), deal.alias("q"))), F.array(F.struct(deal.alias("h"), deal.alias("q")))
     for s, (h, q) in most.items():
-        own_h, own_q = F.pmod(F.xxhash64("fp"), F.lit(h)).cast("int"), F.pmod(F.xxhash64("fp"), F.lit(q)).cast("int")
+        own_h, own_q = (F.pmod(F.xxhash64(*columns), F.lit(k)).cast("int") for k in (h, q))
         homes = F.when(F.col("shard") == s, F.array(*[F.struct(own_h.alias("h"), F.lit(i).alias("q")) for i in range(q)])).otherwise(homes)
         asking = F.when(F.col("shard") == s, F.array(*[F.struct(F.lit(i).alias("h"), own_q.alias("q")) for i in range(h)])).otherwise(asking)
-    dealt = routed.withColumn("_b", F.explode(F.when(F.col("asks"), asking).otherwise(homes))).select("shard", "_b.h", "_b.q", "asks", "fp")
+    return routed.withColumn("_b", F.explode(F.when(F.col("asks"), asking).otherwise(homes))).select("shard", "_b.h", "_b.q", "asks", *columns)
+
+
+def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): each fingerprint of the column fp with the root of its group in a shard."""
+    dealt = shards(distinct.select("fp"), "fp", radius, SHARD_ROWS, HOME_BLOCK, QUERY_BLOCK)
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
