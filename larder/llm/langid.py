@@ -5,7 +5,8 @@ gets the language whose codeword has the least loss, where a bit counts by how r
 rows left out of the fit; a text whose two best codewords are nearly as close is flagged as ambiguous.
 
 The classifiers are fitted on a sample of about `sample` labelled rows (a parameter, divided evenly among the
-languages, by hash of doc_id), whose features are made on the executors and sent to the driver. Every text is
+languages, by hash of doc_id), whose features are made on the executors and sent to the driver, packed; there they are
+one matrix, which the fit changes in place. Every text is
 predicted, over all its characters. Null texts and texts without a letter are `und` with score 0, and so is
 everything if there is no labelled row; with one language that is the only answer. Repeated rows, extra
 columns and empty tables need nothing special, as prediction is a function of the text alone.
@@ -14,6 +15,7 @@ columns and empty tables need nothing special, as prediction is a function of th
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 from itertools import product
 
@@ -95,17 +97,23 @@ class Model:
         return out
 
 
+def weighing(n: int) -> int:
+    """How many of n rows weigh the bits: every fifth, none of few rows."""
+    return -(-n // 5) if n >= 50 else 0
+
+
 def fit(rows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
-    """Logistic classifiers of the bits by accelerated gradient steps; every fifth row weighs the bits."""
+    """Logistic classifiers of the bits by accelerated gradient steps; the first rows weigh the bits. Changes `rows`."""
     code = codewords(len(languages))
     bits = code.shape[1]
     if not bits:
         return Model(languages, code, np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), np.zeros(0, np.float32))
-    left_out = np.arange(len(rows)) % 5 == 0 if len(rows) >= 50 else np.zeros(len(rows), bool)
-    x, y = rows[~left_out], code[labels[~left_out]]
+    out = weighing(len(rows))
+    x, y = rows[out:], code[labels[out:]]
     middle = x.mean(axis=0)
-    x = x - middle
-    step = 4 / max(1e-3, float((x**2).sum(axis=1).mean()))
+    rows -= middle
+    squares = np.concatenate([(x[at : at + TEXTS] ** 2).sum(axis=1) for at in range(0, len(x), TEXTS)])
+    step = 4 / max(1e-3, float(squares.mean()))
     w = ahead = np.zeros((BUCKETS, bits), np.float32)
     b = b_ahead = np.zeros(bits, np.float32)
     for k in range(ROUNDS):
@@ -114,8 +122,8 @@ def fit(rows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Model:
         push = k / (k + 3)
         ahead, b_ahead = w_next + push * (w_next - w), b_next + push * (b_next - b)
         w, b = w_next, b_next
-    held = (rows[left_out] - middle) @ w + b if left_out.any() else x @ w + b
-    wrong = ((held > 0) != (code[labels[left_out] if left_out.any() else labels] > 0)).mean(axis=0)
+    held = (rows[:out] if out else x) @ w + b
+    wrong = ((held > 0) != (code[labels[:out] if out else labels] > 0)).mean(axis=0)
     trust = np.log((1.01 - wrong) / (wrong + 0.01)).clip(0.05)
     return Model(languages, code, w.astype(np.float32), (b - middle @ w).astype(np.float32), (trust / trust.sum()).astype(np.float32))
 
@@ -132,13 +140,19 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < limit)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([features(t.as_py()).astype("<f2").tobytes() for t in texts], pa.binary())
+        return pa.array([zlib.compress(features(t.as_py()).astype("<f2").tobytes(), 1) for t in texts], pa.binary())
 
     rows = drawn.select("doc_id", "lang", F.arrow_udf(run, "binary")(F.col("text")).alias("x")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["x"]))
+    if not rows:
+        return train(labelled, sample * 2)
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"], zlib.decompress(r["x"])))
+    if weighing(len(rows)):
+        rows = rows[::5] + [r for k, r in enumerate(rows) if k % 5]
     place = {lang: i for i, lang in enumerate(languages)}
-    x = np.frombuffer(b"".join(r["x"] for r in rows), "<f2").reshape(len(rows), BUCKETS).astype(np.float32)
-    return fit(x, np.array([place[r["lang"]] for r in rows], np.int64), languages) if len(rows) else train(labelled, sample * 2)
+    x = np.empty((len(rows), BUCKETS), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(zlib.decompress(r["x"]), "<f2")
+    return fit(x, np.array([place[r["lang"]] for r in rows], np.int64), languages)
 
 
 def predict(text: Column, model: Model) -> Column:

@@ -1,3 +1,4 @@
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -59,3 +60,32 @@ def test_unclear_texts_are_flagged(spark):
     assert [p[0] for p in model.predict(["abab abab", "xyxy xyxy"])] == ["one", "two"]
     assert [p[2] for p in model.predict(["abab abab", "qqqq mmmm"])][0] is False
     assert model.predict(["12 34"])[0] == ("und", 0.0, True)
+
+
+def test_training_holds_one_matrix_on_the_driver(spark):
+    words = F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.md5(F.col("id").cast("string").cast("binary")))
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), words.alias("text"), F.concat(F.lit("l"), F.col("id") % 4).alias("lang"))
+    tracemalloc.start()
+    model = langid.train(docs)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 4
+    # A row of the matrix takes 4 bytes a bucket; about SAMPLE rows are drawn.
+    assert most < 1.5 * langid.SAMPLE * langid.BUCKETS * 4
+
+
+def test_fit_in_place():
+    rng = np.random.default_rng(7)
+    for n in (40, 300):
+        rows, labels = rng.random((n, langid.BUCKETS), np.float32) / 64, np.arange(n) // 3 % 3
+        rows[np.arange(n), labels] += 1
+        out = np.arange(n) % 5 == 0 if n >= 50 else np.zeros(n, bool)
+        assert out.sum() == langid.weighing(n)
+        order = np.concatenate((np.flatnonzero(out), np.flatnonzero(~out)))
+        middle, x = rows[~out].mean(axis=0), rows[~out] - rows[~out].mean(axis=0)
+        model = langid.fit(rows[order], labels[order], ["a", "b", "c"])
+        held, known = (rows[out] - middle, labels[out]) if out.any() else (x, labels)
+        wrong = ((held @ model.weights + model.bias + middle @ model.weights > 0) != (model.code[known] > 0)).mean(axis=0)
+        trust = np.log((1.01 - wrong) / (wrong + 0.01)).clip(0.05)
+        assert np.allclose(model.trust, trust / trust.sum(), atol=1e-5)
+        assert ((rows @ model.weights + model.bias > 0) == (model.code[labels] > 0)).mean() > 0.9
