@@ -6,10 +6,10 @@ rows left out of the fit; a text whose two best codewords are nearly as close is
 
 The classifiers are fitted on a sample of about `sample` labelled rows (a parameter, divided evenly among the
 languages, by hash of doc_id), whose features are made on the executors and sent to the driver, packed; there they are
-one matrix, which the fit changes in place. Every text is
-predicted, over all its characters. Null texts and texts without a letter are `und` with score 0, and so is
-everything if there is no labelled row; with one language that is the only answer. Repeated rows, extra
-columns and empty tables need nothing special, as prediction is a function of the text alone.
+one matrix, which the fit changes in place. Every text is predicted, over all its characters. Null texts and
+texts without a letter are `und` with score 0, and so is everything if there is no labelled row; with one
+language that is the only answer. Repeated rows, extra columns and empty tables need nothing special, as
+prediction is a function of the text alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import product
+from itertools import groupby, product
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +146,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     rows = drawn.select("doc_id", "lang", F.arrow_udf(run, "binary")(F.col("text")).alias("x")).collect()
     if not rows:
         return train(labelled, sample * 2)
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], zlib.decompress(r["x"])))
+    by = itemgetter("doc_id", "lang")
+    rows = [r for _, same in groupby(sorted(rows, key=by), by) for r in sorted(same, key=lambda r: zlib.decompress(r["x"]))]
     if weighing(len(rows)):
         rows = rows[::5] + [r for k, r in enumerate(rows) if k % 5]
     place = {lang: i for i, lang in enumerate(languages)}
