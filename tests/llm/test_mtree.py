@@ -73,3 +73,24 @@ def test_pages_are_pruned():
     best = sorted(zip((-(x @ query[0])).astype(int).tolist(), range(len(x)), strict=True))[:10]
     assert sorted((-s, i) for _, i, s in found) == best
     assert sum(read) < 0.8 * len(x)
+
+
+def test_rows_that_workers_read_do_not_grow_with_groups(spark, monkeypatch):
+    """A group stands in one bucket, and queries are sent to buckets by themselves; neither is packed with the other."""
+    rows, read = table(3000, 8, 5, repeated=300), []
+    kind = type(spark.range(0))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (read.append(self), real(self, *a, **b))[1])
+    assert search(spark, rows, 300, routing=2) == sorted(plain.best_products(whole(rows), lambda i: i % 300 == 0, 10), key=repr)
+    sizes = [F.length(f.name) for f in read[-1].schema if f.dataType.typeName() == "binary"]
+    total, most = read[-1].select(F.sum(sum(sizes)), F.max(sum(sizes))).first()
+    assert most == 8 * 8 and total <= 8 * 8 * (3300 + 11 * 50)
+
+
+def test_best_keeps_ties_and_repeated_rows():
+    best = mtree.Best(2, 3)
+    best.add(np.array([0, 0, 1]), np.array([7, 5, 1]), np.array([4, 4, -9]))
+    assert best.least.tolist() == [np.iinfo(np.int64).min] * 2
+    best.add(np.array([0, 0, 0]), np.array([6, 5, 9]), np.array([4, 4, 3]))
+    assert list(zip(best.place.tolist(), best.ids.tolist(), best.scores.tolist(), strict=True)) == [(0, 5, 4), (0, 5, 4), (0, 6, 4), (1, 1, -9)]
+    assert best.least[0] == 4
