@@ -42,6 +42,8 @@ from larder.llm.vocabularies import path_of
 BLOCK_CHARS = 1 << 20
 #: Characters of pieces that a worker remembers, pieces that are encoded in a row.
 REMEMBERED, TOGETHER = 1 << 20, 256
+#: A block's row has megabytes: files are cut by bytes, looked at after each row, as a reader holds the rows of a cut at once.
+ROW_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 SPACE = "▁"
 #: Where texts can be cut: at a blank before a visible character and behind anything but a blank.
 CUT = re.compile(r"(?<=[^ ]) (?=[\w!-~])")
@@ -256,29 +258,24 @@ def describe(tool: Aligner, block: int, doc_ids: pa.Array, texts: list[str | Non
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _joined(blocks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of texts from rows of blocks with the counts they asked for, as (place, count, is the highest of its B id)."""
-    for batch in blocks:
-        for row in range(batch.num_rows):
-            one = {n: batch.column(n)[row].values for n in batch.schema.names if n not in ("block",)}
-            texts = len(one["doc_ids"])
-            asked = one["known"]
-            count, best = np.zeros(len(one["pairs"]), np.int64), np.zeros(len(one["pairs"]), np.int64)
-            if asked is not None and len(asked):
-                place = asked.field("place").to_numpy()
-                count[place] = asked.field("count").to_numpy()
-                best[place] = asked.field("best").to_numpy(zero_copy_only=False)
-            links, link_sizes = one["links"].to_numpy(), one["link_sizes"].to_numpy().astype(np.int64)
-            pieces, sizes = one["pieces"].to_numpy(), one["sizes"].to_numpy().astype(np.int64)
+def _joined(made: pa.Table, known: pa.Table) -> pa.Table:
+    """Rows of the texts of a block from its row and the counts it asked for, as (place, count, is the highest of its B id)."""
+    one = {n: made.column(n)[0].values for n in ("doc_ids", "figures", "groups", "sizes", "pieces", "link_sizes", "links")}
+    count, best = (np.zeros(made.column("n_pairs")[0].as_py(), np.int64) for _ in range(2))
+    place = known.column("place").to_numpy()
+    count[place] = known.column("count").to_numpy()
+    best[place] = known.column("best").to_numpy()
+    links, link_sizes = one["links"].to_numpy(), one["link_sizes"].to_numpy().astype(np.int64)
+    pieces, sizes = one["pieces"].to_numpy(), one["sizes"].to_numpy().astype(np.int64)
 
-            def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-                total, ends = np.concatenate(([0], np.cumsum(values))), np.concatenate(([0], np.cumsum(sizes)))
-                return total[ends[1:]] - total[ends[:-1]]
+    def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        total, ends = np.concatenate(([0], np.cumsum(values))), np.concatenate(([0], np.cumsum(sizes)))
+        return total[ends[1:]] - total[ends[:-1]]
 
-            n_best, count_sum = (summed(summed(v[links], link_sizes)[pieces], sizes) for v in (best, count))
-            figures = one["figures"].to_numpy().reshape(texts, 4)
-            columns = [one["doc_ids"], *(pa.array(figures[:, i]) for i in range(4)), pa.array(n_best), pa.array(count_sum), one["groups"]]
-            yield pa.record_batch(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+    n_best, count_sum = (summed(summed(v[links], link_sizes)[pieces], sizes) for v in (best, count))
+    figures = one["figures"].to_numpy().reshape(len(one["doc_ids"]), 4)
+    columns = [one["doc_ids"], *(pa.array(figures[:, i]) for i in range(4)), pa.array(n_best), pa.array(count_sum), one["groups"]]
+    return pa.table(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def _release(tool: Aligner) -> None:
@@ -306,7 +303,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         _release(tool)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _kept(rows.mapInArrow(run, BLOCK_TYPE), "blocks")
+    return _kept(rows.mapInArrow(run, BLOCK_TYPE), "blocks", **ROW_GROUPS)
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -323,6 +320,6 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     made = blocks(docs, path_a or path_of("byte_bpe_50k.json"), path_b or path_of("piece_bpe_32k.model"))
     counts = pair_counts(made)
     asked = made.select("block", F.posexplode("pairs").alias("place", "pair"))
-    known = asked.join(counts.withColumnRenamed("pair", "_pair"), F.col("pair") == F.col("_pair")).groupBy(F.col("block").alias("_block"))
-    known = known.agg(F.collect_list(F.struct("place", "count", "best")).alias("known"))  # as many as the block has pairs
-    return made.drop("counts").join(known, F.col("block") == F.col("_block"), "left").drop("_block").mapInArrow(_joined, RESULT)
+    known = asked.join(counts.withColumnRenamed("pair", "_pair"), F.col("pair") == F.col("_pair")).select(F.col("block").alias("_block"), "place", "count", "best")
+    own = made.select(*[c for c in made.columns if c not in ("pairs", "counts")], F.size("pairs").alias("n_pairs"))
+    return own.groupBy("block").cogroup(known.groupBy("_block")).applyInArrow(_joined, RESULT)

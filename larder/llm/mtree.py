@@ -41,7 +41,7 @@ from larder.llm.components import _kept
 
 ROUTING, GROUP, PAGE, BLOCK = 256, 4096, 64, 256
 #: Buckets that groups are dealt to, more of them where one would hold more bytes of vectors.
-BUCKETS, BUCKET_BYTES = 48, 1 << 25
+BUCKETS, BUCKET_BYTES = 48, 1 << 26
 SCALE = 1024
 
 

@@ -86,3 +86,23 @@ def test_counts_over_blocks(spark, tool, monkeypatch):
 def test_odd_rows(tool, odd, none):
     assert sorted(map(tuple, al.align(odd).collect()), key=repr) == expected(tool, ODD)
     assert al.align(none).count() == 0
+
+
+def test_no_value_holds_what_a_block_asks_for_and_files_are_cut_by_bytes(spark, tool, monkeypatch):
+    """Counts reach a block as rows, and a reader never holds all rows of a file of blocks at once."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(al, "BLOCK_CHARS", 2000)
+    monkeypatch.setitem(al.ROW_GROUPS, "parquet.block.size", "20000")
+    monkeypatch.setattr(F, "collect_list", None)
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"{rng.randrange(10**6)} token{rng.randrange(99)}" for _ in range(60))) for k in range(120)]
+    made, real = [], al.blocks
+    monkeypatch.setattr(al, "blocks", lambda *a: made.append(real(*a)) or made[0])
+    got = al.align(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(map(tuple, got.collect()), key=repr) == expected(tool, rows)
+    import pyarrow.parquet as pq
+
+    files = [pq.ParquetFile(f.removeprefix("file://").removeprefix("file:")).metadata for f in made[0].inputFiles()]
+    cuts = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(cuts) > 30 and max(cuts) <= 8
