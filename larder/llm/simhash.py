@@ -182,11 +182,16 @@ def search_shard(prints: np.ndarray, home: np.ndarray, ask: np.ndarray, radius:
 
 
 def near_forest(
-    prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, ask: np.ndarray, radius: int, unlike: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    prints: np.ndarray, sizes: np.ndarray, home: np.ndarray, ask: np.ndarray, radius: int, unlike: Callable[[np.ndarray, np.ndarray], np.ndarray], forests: int = 1
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) that span the groups of all pairs within the radius, of sizes at most a fifth apart and `unlike` by 1 at most; the least unlike first."""
-    groups, found = _Groups(len(prints)), [np.empty((2, 0), np.int64)]
+    """Places (a, b) that span the groups of all pairs within the radius, of sizes at most a fifth apart and `unlike` by 1 at most; the least unlike first.
+
+    With more forests, what one leaves is spanned by the next, so a pair that turns out not to be near does not stand for others.
+    """
+    spanned, found = [_Groups(len(prints)) for _ in range(forests)], [np.empty((2, 0), np.int64)]
     home, ask = home[np.argsort(sizes[home], kind="stable")], ask[np.argsort(sizes[ask], kind="stable")]
+    at_home = np.zeros(len(prints), bool)
+    at_home[home] = True
     step = max(1, PAIRS // max(1, len(home)))
     for at in range(0, len(ask), step):
         some = ask[at : at + step]
@@ -195,22 +200,27 @@ def near_forest(
         far = np.bitwise_count(prints[some][:, None] ^ prints[here][None, :])
         row, col = np.nonzero(far <= radius)
         a, b = some[row], here[col]
-        new = (groups.least[a] != groups.least[b]) & (5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b]))
+        last = spanned[-1].least
+        new = (last[a] != last[b]) & ((a < b) | ~at_home[a]) & (5 * np.minimum(sizes[a], sizes[b]) >= 4 * np.maximum(sizes[a], sizes[b]))
         a, b = a[new], b[new]
-        share = unlike(a, b)
+        share = np.concatenate([unlike(a[i : i + PAIRS // 8], b[i : i + PAIRS // 8]) for i in range(0, max(1, len(a)), PAIRS // 8)])
         order = np.flatnonzero(share <= 1)
         order = order[np.argsort(share[order], kind="stable")]
         a, b = a[order], b[order]
-        while len(a):
-            one, other = groups.least[a], groups.least[b]
-            apart = one != other
-            a, b, later = a[apart], b[apart], np.maximum(one, other)[apart]
-            # The first pair, the least unlike, of each group that can join one with a smaller root.
-            first = np.full(len(prints), -1)
-            first[later[::-1]] = np.arange(len(later))[::-1]
-            first = first[first >= 0]
-            found.append(np.stack((a[first], b[first])))
-            groups.link(a[first], b[first])
+        for groups in spanned:
+            chosen, left = np.zeros(len(a), bool), np.arange(len(a))
+            while len(left):
+                one, other = groups.least[a[left]], groups.least[b[left]]
+                apart = one != other
+                left, later = left[apart], np.maximum(one, other)[apart]
+                # The first pair, the least unlike, of each group that can join one with a smaller root.
+                first = np.full(len(prints), -1)
+                first[later[::-1]] = left[::-1]
+                first = first[first >= 0]
+                chosen[first] = True
+                groups.link(a[first], b[first])
+            found.append(np.stack((a[chosen], b[chosen])))
+            a, b = a[~chosen], b[~chosen]
     a, b = np.concatenate(found, axis=1)
     return a, b
 

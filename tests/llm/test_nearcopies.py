@@ -101,6 +101,27 @@ def test_forest_spans_the_groups_of_all_pairs(monkeypatch):
     assert roots(a, b) == roots(x, y) and len(a) == 500 - len(set(roots(x, y)))
 
 
+def test_a_refused_pair_does_not_stand_for_others(monkeypatch):
+    """Sets 0..29 look alike in sketches, but only pairs of the same third are near: later forests give those, none twice."""
+    monkeypatch.setattr(simhash, "PAIRS", 2000)
+    prints, sizes, places = np.zeros(30, np.uint64), np.full(30, 50), np.arange(30)
+    seen = []
+
+    def unlike(a, b):
+        return np.where(a % 3 == b % 3, 0.6, 0.5)
+
+    def confirmed(forests):
+        a, b = simhash.near_forest(prints, sizes, places, places, 14, unlike, forests)
+        seen.append(sorted({(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)}))
+        assert len(seen[-1]) == len(a) <= forests * 29
+        groups, near = simhash._Groups(30), a % 3 == b % 3
+        groups.link(a[near], b[near])
+        return len(set(groups.least.tolist()))
+
+    assert confirmed(1) == 30 and confirmed(8) < 30 and confirmed(30) == 3
+    assert set(seen[0]) <= set(seen[1]) <= set(seen[2])
+
+
 def test_fingerprints_and_shards_find_near_copies(spark, monkeypatch):
     """Without the exact way for what they let pass, over several shards."""
     rng, rows = np.random.default_rng(8), []
