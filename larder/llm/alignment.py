@@ -19,8 +19,6 @@ columns are ignored, an empty table has an empty result. No text is cut short; a
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -36,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larder.llm.components import _kept
+from larder.llm.components import _kept, _release
 from larder.llm.vocabularies import path_of
 
 BLOCK_CHARS = 1 << 20
@@ -278,15 +276,6 @@ def _joined(made: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
-def _release(tool: Aligner) -> None:
-    """Give a worker's memory back, since workers are kept while the JVM joins what they made."""
-    tool.forget()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row for each block of texts of (doc_id, text); kept, since a block is named by the task that made it."""
 
@@ -300,7 +289,8 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     block, rows = TaskContext.get().partitionId() << 32 | made, batch.slice(begin, i + 1 - begin)
                     yield describe(tool, block, rows.column(0), rows.column(1).to_pylist())
                     begin, chars, made = i + 1, 0, made + 1
-        _release(tool)
+        tool.forget()
+        _release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _kept(rows.mapInArrow(run, BLOCK_TYPE), "blocks", **ROW_GROUPS)
